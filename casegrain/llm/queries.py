@@ -22,6 +22,26 @@ def p1_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.parties(table(spark, sf_dir, "conflict_hits"))
 
 
+def _garbled_tables(spark: SparkSession, sf_dir: str) -> list:
+    return [
+        (table(spark, sf_dir, "search_results"), "search_results", "result_id", ["title", "excerpt"]),
+        (table(spark, sf_dir, "extraction_results"), "extraction_results", "extraction_id", ["text"]),
+    ]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mojibake
+
+    return mojibake.found(_garbled_tables(spark, sf_dir))
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field with its restored text and the chain that restores it."""
+    from . import mojibake
+
+    return mojibake.restore(_garbled_tables(spark, sf_dir)).drop("text")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokens
 
