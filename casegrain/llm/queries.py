@@ -42,6 +42,18 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restore(_garbled_tables(spark, sf_dir)).drop("text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import email_bodies
+
+    return email_bodies.blocks(table(spark, sf_dir, "extraction_results"))
+
+
+def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import email_bodies
+
+    return email_bodies.new_text(table(spark, sf_dir, "extraction_results"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokens
 
