@@ -327,7 +327,7 @@ def near_words(words: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep))
 
     keys = spread(words).mapInArrow(explode, "core string, key string").withColumn("h", F.xxhash64("key")).select("core", "h")
-    pairs = keys.alias("x").join(keys.alias("y"), "h").select(F.col("x.core").alias("a"), F.col("y.core").alias("b")).where("a <> b").distinct()
+    pairs = keys.alias("x").join(keys.alias("y").hint("merge"), "h").select(F.col("x.core").alias("a"), F.col("y.core").alias("b")).where("a <> b").distinct()
     near = pairs.mapInArrow(verify, "a string, b string")
     return near.unionByName(words.select(F.col("core").alias("a"), F.col("core").alias("b")))
 
