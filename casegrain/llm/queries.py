@@ -78,6 +78,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sentences
+
+    return sentences.split_corpus(table(spark, sf_dir, "documents")).select("doc_id", "sent_end")
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with its text."""
+    from . import sentences
+
+    docs = table(spark, sf_dir, "documents")
+    spans = sentences.split_corpus(docs)
+    return docs.select("doc_id", "text").join(spans, "doc_id").selectExpr("doc_id", "seq", "substring(text, cast(sent_start + 1 as int), cast(sent_end - sent_start as int)) AS sentence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
