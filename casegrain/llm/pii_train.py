@@ -1,6 +1,6 @@
 """Labelled spans for the personal-information tagger, and its training.
 
-    python -m casegrain.llm.pii_train DATA_DIR OUT.npz [MINUTES]
+    python -m casegrain.llm.pii_train DATA_DIR OUT.npz [MINUTES [START.npz]]
 
 No labelled table exists, so the labels come from distant supervision: patterns
 that are sure of their context mark spans in clean texts; the marked texts are
@@ -176,7 +176,7 @@ def tags_of(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
     return y
 
 
-def main(data: str, out: str, minutes: float) -> None:
+def main(data: str, out: str, minutes: float, start: str | None = None) -> None:
     import pyarrow.parquet as pq
 
     r = np.random.default_rng(11)
@@ -190,7 +190,7 @@ def main(data: str, out: str, minutes: float) -> None:
     surnames = sure_surnames(texts)
     print(len(surnames), "surnames", flush=True)
     rows = [(s, weak_spans(s, surnames)) for s in texts]
-    p, opt, began, step = M.init(HIDDEN), None, time.time(), 0
+    p, began, step = M.load(start) if start else M.init(HIDDEN), time.time(), 0
     opt = M.Adam(p)
     total = minutes * 60
     pool: list[tuple[np.ndarray, np.ndarray]] = []
@@ -213,7 +213,7 @@ def main(data: str, out: str, minutes: float) -> None:
             r.shuffle(pool)
         batch, pool = pool[:BATCH], pool[BATCH:]
         X, Y = np.stack([b[0] for b in batch]), np.stack([b[1] for b in batch])
-        lr = 0.006 * min(1, (step + 1) / 50) * (0.5 * (1 + np.cos(np.pi * min(1, spent / total))) * 0.97 + 0.03)
+        lr = (0.003 if start else 0.006) * min(1, (step + 1) / 50) * (0.5 * (1 + np.cos(np.pi * min(1, spent / total))) * 0.97 + 0.03)
         loss, g = M.loss_and_grads(p, X, Y)
         opt.step(p, g, lr)
         step += 1
@@ -237,4 +237,4 @@ def evaluate(p: dict, held: list[str], surnames: set[str]) -> None:
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 20)
+    main(sys.argv[1], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 20, *sys.argv[4:5])

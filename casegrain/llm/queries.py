@@ -54,6 +54,18 @@ def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return email_bodies.new_text(table(spark, sf_dir, "extraction_results"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import scan_noise
+
+    return scan_noise.found(table(spark, sf_dir, "extraction_results"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import scan_noise
+
+    return scan_noise.repaired(table(spark, sf_dir, "extraction_results"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import tokens
 
