@@ -54,6 +54,23 @@ def p3_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return email_bodies.new_text(table(spark, sf_dir, "extraction_results"))
 
 
+def _private_tables(spark: SparkSession, sf_dir: str) -> list:
+    return [(table(spark, sf_dir, "extraction_results"), "extraction_results", "extraction_id"), (table(spark, sf_dir, "observations"), "observations", "observation_id")]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.found(_private_tables(spark, sf_dir))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    from . import pii
+
+    return pii.tag(_private_tables(spark, sf_dir)).select("record_table", "record_id", "redacted")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import scan_noise
 
