@@ -5,11 +5,603 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..io import table
+from ..operators import graph, ledger, lines, matters, parties, points, posture, quality, retrieve, roles, search, status
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL: dict[str, tuple[Query, str | None]] = {}
+
+QUESTION = "When did the insurer deny the claim and who measured the missing shingles on the roof?"
+SEARCH_TEXT = "roof inspection"
+TITLE_QUERY = "hardware supply"
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _ALL[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _ALL.items() if s}
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# -- lines and questions -----------------------------------------------------
+_LINES = """lines AS (
+  SELECT extraction_id, CAST(i AS INTEGER) AS line, l AS text
+  FROM (SELECT extraction_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM extraction_results WHERE text IS NOT NULL)
+  WHERE trim(l, ' ') <> '' AND NOT starts_with(ltrim(l, ' '), '<<<SOURCE ') AND NOT starts_with(ltrim(l, ' '), '<<<EXTRACTION '))"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return lines.explode_lines(table(spark, d, "extraction_results"), "extraction_id")
+
+
+@_query(f"WITH {_LINES} SELECT extraction_id, line, text FROM lines")
+def lines_explode(spark, d):
+    return _lines(spark, d)
+
+
+_TERMS = retrieve.question_terms(QUESTION)
+_UNIQ = list(dict.fromkeys(_TERMS))
+_DF = ", ".join(f"({_lit(t)}, {_TERMS.count(t)})" for t in _UNIQ)
+_IDF = f"""terms(term, times) AS (VALUES {_DF}),
+idf AS (SELECT term, CAST(sum(CASE WHEN contains(lower(text), term) THEN times ELSE 0 END) AS BIGINT) AS df, count(*) AS n FROM lines, terms GROUP BY term)"""
+
+
+@_query(f"WITH {_LINES}, {_IDF} SELECT term, df, n, round(ln(1 + n / (1 + df)), 8) AS idf FROM idf")
+def term_idf(spark, d):
+    return retrieve.term_idf(_lines(spark, d), _TERMS)
+
+
+@_query(
+    f"""WITH {_LINES}, {_IDF}, w AS (SELECT term, round(ln(1 + n / (1 + df)), 8) AS idf FROM idf),
+every AS (SELECT unnest([{', '.join(map(_lit, _TERMS))}]) AS term),
+scored AS (SELECT extraction_id, line, sum(idf) AS score FROM lines, every JOIN w USING (term) WHERE contains(lower(text), term) GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY extraction_id ORDER BY round(score, 9) DESC, line) AS r FROM scored)
+SELECT extraction_id, round(sum(score), 6) AS score, count(*) AS lines FROM best WHERE r <= 5 GROUP BY 1 ORDER BY score DESC, extraction_id LIMIT 20"""
+)
+def question_top_docs(spark, d):
+    return retrieve.top_documents(retrieve.score_lines(_lines(spark, d), _TERMS).withColumn("score", F.round("score", 9)), "extraction_id")
+
+
+@_query(
+    f"""WITH {_LINES}, s AS (SELECT *, CAST({' + '.join(f"(length(lower(text)) - length(replace(lower(text), {_lit(w)}, ''))) / {len(w)}" for w in SEARCH_TEXT.split())} AS INTEGER) AS score FROM lines)
+SELECT extraction_id, line, text, score FROM s WHERE score > 0 ORDER BY score DESC, extraction_id, line LIMIT 50"""
+)
+def case_search(spark, d):
+    return retrieve.search(_lines(spark, d), SEARCH_TEXT, "extraction_id", 50)
+
+
+@_query()
+def context_budget(spark, d):
+    """Lines of each case that answer the question within 24,000 characters (a greedy fold, checked by tests)."""
+    docs = roles.with_role(table(spark, d, "extraction_results").join(table(spark, d, "ingested_files").select("file_id", "original"), "file_id", "left"), "original", "text")
+    x = lines.explode_lines(docs, "extraction_id", keep=("case_id", "rank")).withColumn("source", F.col("extraction_id").cast("string"))
+    return retrieve.context(retrieve.score_lines(x, _TERMS))
+
+
+_TOKENS = f"""tok AS (SELECT extraction_id AS doc, unnest(regexp_extract_all(text, {_lit(P.WORD)})) AS w, generate_subscripts(regexp_extract_all(text, {_lit(P.WORD)}), 1) AS pos FROM extraction_results WHERE text IS NOT NULL),
+g AS (SELECT doc, lower(w) AS value, count(*) AS n, min(pos) AS first FROM tok WHERE length(w) > 3 AND lower(w) NOT IN ({', '.join(map(_lit, P.STOP))}) GROUP BY 1, 2),
+tops AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first) AS r FROM g)"""
+
+
+@_query(f"WITH {_TOKENS} SELECT doc, value, n, CAST(least(n, 16) AS BIGINT) AS hits FROM tops WHERE r <= 128 AND n >= 2")
+def token_top128(spark, d):
+    return points.token_counts(table(spark, d, "extraction_results"), "extraction_id").withColumn("hits", F.col("hits").cast("bigint"))
+
+
+# -- observations and points -------------------------------------------------
+def _ex(kind: str, pattern: str, group: int, ext: int, weight: float, text: str = "text") -> str:
+    got = f"regexp_extract_all({text}, {_lit(pattern)}, {group})"
+    value = "'$' || replace(v, ',', '')" if kind == "AMOUNT" else "regexp_replace(trim(v, ' '), '[.,;:]+$', '')"
+    return f"SELECT doc, {ext} AS ext, i AS idx, '{kind}' AS kind, {value} AS value, {weight} AS weight FROM (SELECT extraction_id AS doc, unnest({got}) AS v, generate_subscripts({got}, 1) AS i FROM extraction_results WHERE text IS NOT NULL)"
+
+
+_HITS = "raw AS (" + " UNION ALL ".join(
+    [_ex(k, p, g, n, w) for n, (k, p, g, w) in enumerate(P.EXTRACTORS)]
+    + [_ex("PARTY_A", P.PARTIES, 1, 7, 1.25, "text[1:2500]"), _ex("PARTY_B", P.PARTIES, 2, 8, 1.25, "text[1:2500]"), _ex("AMOUNT", P.AMOUNT, 1, 9, 1.3), _ex("MEASURE", P.MEASURE, 0, 10, 1.15)]
+) + """), hits AS (SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY ext, idx) AS INTEGER) AS seq, kind, value, CAST(weight AS DOUBLE) AS weight FROM raw WHERE value <> ''),
+h AS (SELECT *, concat(kind, '=', lower(trim(regexp_replace(value, '\\s+', ' ', 'g'), ' '))) AS kv, row_number() OVER w AS n, lead(seq) OVER w AS nx, min(seq) OVER (PARTITION BY doc, kind, value) AS first FROM hits WINDOW w AS (PARTITION BY doc, kind, value ORDER BY seq)),
+hp AS (SELECT *, weight * ln(1 + n) AS p FROM h)"""
+_FLOATS = "floats AS (SELECT doc, kind, value, count(*) AS hits, round(max_by(weight, seq) * ln(1 + count(*)), 8) AS pressure, min(seq) AS first_seq FROM hp GROUP BY ALL)"
+_STIRS = f"stirs AS (SELECT doc, kv AS value, count(*) AS hits, round(max_by(least(1.75, 0.5 + p / 2), seq) * ln(1 + count(*)), 8) AS pressure FROM hp WHERE n >= 2 AND kind IN ({', '.join(map(_lit, P.RECURRING))}) GROUP BY doc, kv)"
+_PAIRS = ", ".join(f"'{a}|{b}', '{b}|{a}'" for a, b in P.RELATED)
+_MIXES = f"""rel AS (SELECT a.doc, a.seq, b.first AS f, least(a.kv, b.kv) || '|' || greatest(a.kv, b.kv) AS value, least(1.75, (a.p + b.p) / 2) AS w FROM hp a JOIN hp b ON a.doc = b.doc AND b.seq < a.seq AND (b.nx IS NULL OR b.nx > a.seq) AND a.kind || '|' || b.kind IN ({_PAIRS})),
+mixes AS (SELECT doc, value, count(*) AS hits, round(max_by(w, (seq, f)) * ln(1 + count(*)), 8) AS pressure FROM rel GROUP BY doc, value)"""
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return points.extract_hits(table(spark, d, "extraction_results"), "extraction_id")
+
+
+@_query(f"WITH {_HITS} SELECT doc, seq, kind, value, weight FROM hits")
+def observe_hits(spark, d):
+    return _hits(spark, d)
+
+
+@_query(f"WITH {_HITS}, {_FLOATS} SELECT doc, kind, value, hits, pressure FROM floats")
+def float_points(spark, d):
+    return points.float_points(_hits(spark, d)).drop("first_seq")
+
+
+@_query(f"WITH {_HITS}, {_STIRS} SELECT * FROM stirs")
+def recurrence_points(spark, d):
+    return points.recurrence_points(_hits(spark, d))
+
+
+@_query(f"WITH {_HITS}, {_MIXES} SELECT * FROM mixes")
+def relation_points(spark, d):
+    return points.relation_points(_hits(spark, d))
+
+
+_TOP = "SELECT doc, kind, value, pressure, CAST(row_number() OVER (PARTITION BY doc ORDER BY pressure DESC, hits DESC, first_seq) AS INTEGER) AS rank FROM floats QUALIFY rank <= 20"
+
+
+@_query(f"WITH {_HITS}, {_FLOATS} {_TOP}")
+def top_points(spark, d):
+    return points.top_points(points.float_points(_hits(spark, d)), ["doc"], 20, ["first_seq"]).select("doc", "kind", "value", "pressure", "rank")
+
+
+@_query(
+    f"""WITH {_HITS}, {_FLOATS}, {_STIRS}, {_MIXES},
+every AS (SELECT doc, pressure, 0 AS layer FROM floats UNION ALL SELECT doc, pressure, 1 FROM mixes UNION ALL SELECT doc, pressure, 2 FROM stirs),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY pressure DESC) AS k FROM every),
+g AS (SELECT doc, count(*) AS n, sum(CASE WHEN layer = 0 THEN 1 ELSE 0 END) AS nf, sum(CASE WHEN k <= 12 THEN pressure ELSE 0 END) AS strong, sum(pressure) AS total FROM r GROUP BY doc)
+SELECT doc, round(0.45 * least(1, ln(1 + n) / ln(81)) + 0.35 * least(1, (n - nf) / greatest(1, nf * 0.75)) + 0.20 * CASE WHEN total > 0 THEN strong / total ELSE 0 END, 5) AS clarity FROM g"""
+)
+def pattern_clarity(spark, d):
+    h = _hits(spark, d)
+    return points.clarity(points.float_points(h), points.relation_points(h), points.recurrence_points(h))
+
+
+_DOCS = "docs AS (SELECT DISTINCT extraction_id AS doc, case_id FROM extraction_results)"
+
+
+@_query(f"WITH {_HITS}, {_FLOATS}, {_DOCS} SELECT case_id, count(DISTINCT doc) AS documents, count(*) AS points, CAST(sum(hits) AS BIGINT) AS hits, round(sum(pressure), 4) AS total_pressure FROM floats JOIN docs USING (doc) GROUP BY case_id")
+def case_rollup(spark, d):
+    return points.case_rollup(points.float_points(_hits(spark, d)), table(spark, d, "extraction_results").withColumnRenamed("extraction_id", "doc"))
+
+
+@_query(f"WITH {_HITS}, {_FLOATS}, {_DOCS}, d AS (SELECT case_id, doc, sum(pressure) AS p FROM floats JOIN docs USING (doc) GROUP BY ALL) SELECT case_id, doc, round(p, 4) AS pressure, round(p / sum(p) OVER (PARTITION BY case_id), 5) AS share FROM d WHERE case_id IS NOT NULL")
+def pressure_share(spark, d):
+    return points.pressure_share(points.float_points(_hits(spark, d)), table(spark, d, "extraction_results").withColumnRenamed("extraction_id", "doc"))
+
+
+@_query(f"WITH {_HITS}, {_MIXES}, {_DOCS} SELECT case_id, doc, value, pressure, CAST(row_number() OVER (PARTITION BY case_id ORDER BY pressure DESC, hits DESC, doc, value) AS INTEGER) AS rank FROM mixes JOIN docs USING (doc) QUALIFY rank <= 8")
+def top_relations(spark, d):
+    m = points.relation_points(_hits(spark, d)).join(table(spark, d, "extraction_results").select(F.col("extraction_id").alias("doc"), "case_id").distinct(), "doc")
+    return points.top_points(m, ["case_id"], 8, ["doc", "value"]).select("case_id", "doc", "value", "pressure", "rank")
+
+
+# -- amounts, dates, parties -------------------------------------------------
+_AM = f"regexp_extract_all(text, {_lit(P.AMOUNT)}, 1)"
+_EXTRA = f"CASE WHEN regexp_matches(text, {_lit(P.EXTRA_AMOUNT)}) THEN 'MONEY_EXTRA' ELSE 'MONEY_BENEFIT' END"
+
+
+@_query(f"WITH {_LINES} SELECT extraction_id, line, CAST(i - 1 AS INTEGER) AS pos, v AS value, CAST(replace(v, ',', '') AS DOUBLE) AS amount, kind FROM (SELECT extraction_id, line, unnest({_AM}) AS v, generate_subscripts({_AM}, 1) AS i, {_EXTRA} AS kind FROM lines)")
+def observe_amounts(spark, d):
+    return posture.amounts(_lines(spark, d), "extraction_id")
+
+
+_ME = f"regexp_extract_all(text, {_lit(P.MEASURE)})"
+
+
+@_query(f"WITH {_LINES} SELECT extraction_id, line, CAST(i - 1 AS INTEGER) AS pos, v AS value, CAST(replace(regexp_extract(v, '^[0-9,.]*[0-9]'), ',', '') AS DOUBLE) AS amount FROM (SELECT extraction_id, line, unnest({_ME}) AS v, generate_subscripts({_ME}, 1) AS i FROM lines)")
+def observe_measures(spark, d):
+    return posture.measures(_lines(spark, d), "extraction_id")
+
+
+@_query(f"SELECT kind, count(*) AS rows, round(sum(amount), 2) AS amount, count(DISTINCT extraction_id) AS documents FROM (SELECT DISTINCT observation_id, extraction_id, upper(trim(kind, ' ')) AS kind, amount FROM observations) GROUP BY kind")
+def observation_rollup(spark, d):
+    """Observations by kind, rows delivered twice once."""
+    x = table(spark, d, "observations").select("observation_id", "extraction_id", F.upper(F.trim("kind")).alias("kind"), "amount").distinct()
+    return x.groupBy("kind").agg(F.count("*").alias("rows"), F.round(F.sum("amount"), 2).alias("amount"), F.countDistinct("extraction_id").alias("documents"))
+
+
+_RR = ", ".join(f"('{r}', {k})" for r, k, _ in P.ROLES)
+
+
+def _case_sql(expr: str, rules: list) -> str:
+    rank = {r: k for r, k, _ in P.ROLES}
+    return "CASE " + " ".join(f"WHEN regexp_matches({expr}, {_lit('(?i)' + p)}) THEN {rank[r]}" for p, r in rules) + " ELSE 99 END"
+
+
+_ROLE = f"""role(role, rank) AS (VALUES {_RR}),
+ranked AS (SELECT file_id, least({_case_sql("regexp_replace(coalesce(original, ''), '[_.-]+', ' ', 'g')", P.NAME_ROLES)}, {_case_sql("coalesce(text, '')[1:4000]", P.TEXT_ROLES)}) AS rank FROM ingested_files f LEFT JOIN (SELECT file_id, text FROM extraction_results) e USING (file_id))"""
+
+
+@_query(f"WITH {_ROLE} SELECT file_id, rank, role FROM ranked JOIN role USING (rank)")
+def doc_roles(spark, d):
+    f = table(spark, d, "ingested_files").select("file_id", "original").join(table(spark, d, "extraction_results").select("file_id", "text"), "file_id", "left")
+    return roles.with_role(f, "original", "text").select("file_id", "rank", "role")
+
+
+# -- elements, patterns ------------------------------------------------------
+_CLAUSES = "string_split_regex(text, '([;:\\n]|\\.(\\s|$))')"
+
+
+def _affirm_sql(pattern: str) -> str:
+    return f"len(list_filter({_CLAUSES}, lambda x: regexp_matches(x, {_lit('(?i)' + pattern)}) AND NOT regexp_matches(regexp_replace(x, '(?i)\\bnot\\s+only\\b', '', 'g'), {_lit(P.NEGATION)}))) > 0"
+
+
+_REFUSED = r"\b(refused|declined|denied)\b"
+
+
+@_query(f"WITH {_LINES} SELECT extraction_id, line FROM lines WHERE {_affirm_sql(_REFUSED)}")
+def affirmed_pattern(spark, d):
+    return _lines(spark, d).where(posture.affirmed(F.col("text"), F.lit(P.java("(?i)" + _REFUSED)))).select("extraction_id", "line")
+
+
+_OBS = "obs AS (SELECT DISTINCT case_id, extraction_id AS source, line, upper(trim(kind, ' ')) AS kind, text FROM observations WHERE text IS NOT NULL)"
+_SUP = "sup AS (" + " UNION ".join(
+    f"SELECT case_id, source, line, '{t}' AS theory, '{e}' AS element, '{c}' AS channel FROM obs WHERE {_affirm_sql(p)}" + (f" AND kind IN ({', '.join(map(_lit, k))})" if k else "") for t, e, c, p, k in P.THEORIES
+) + """), rk AS (SELECT *, row_number() OVER (PARTITION BY case_id, theory, element ORDER BY source, line) AS r FROM sup),
+sp AS (SELECT case_id, theory, element, channel, count(*) AS support, coalesce(string_agg(source || ':' || line, ', ' ORDER BY r) FILTER (WHERE r <= 4), '') AS cites FROM rk GROUP BY ALL)"""
+
+
+def _supports(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "observations").select("case_id", F.col("extraction_id").alias("source"), "line", F.upper(F.trim("kind")).alias("kind"), "text").distinct()
+    return posture.supports(x, "case_id")
+
+
+@_query(f"WITH {_OBS}, {_SUP} SELECT * FROM sp")
+def element_support(spark, d):
+    return _supports(spark, d)
+
+
+@_query(
+    f"""WITH {_OBS}, {_SUP}, g AS (SELECT case_id, theory, max(CASE WHEN channel = 'A' THEN 1 ELSE 0 END) AS a, max(CASE WHEN channel = 'B' THEN 1 ELSE 0 END) AS b, max(CASE WHEN channel = 'C' THEN 1 ELSE 0 END) AS c FROM sp GROUP BY ALL)
+SELECT case_id, theory, a + b + c AS supported, CASE WHEN a + b + c < 2 THEN 0 WHEN a = 1 AND b = 1 THEN 3 WHEN a = 1 THEN 2 ELSE 1 END AS predicted, a + b + c = 3 AS resolved FROM g"""
+)
+def posture_findings(spark, d):
+    return posture.resolve(_supports(spark, d), "case_id")
+
+
+@_query(
+    f"""WITH x AS (SELECT DISTINCT case_id, CASE WHEN day <> '' THEN day ELSE CAST(extraction_id AS VARCHAR) END AS event FROM (SELECT case_id, extraction_id, regexp_extract(text, {_lit(rf'(?i)\b{P.MONTHS}\.?\s+[0-9]{{1,2}},\s+[0-9]{{4}}\b')}) AS day FROM observations WHERE regexp_matches(text, {_lit(P.ADVERSE)})))
+SELECT case_id, count(*) AS events, count(*) >= 3 AS sufficient FROM x GROUP BY case_id"""
+)
+def adverse_pattern(spark, d):
+    return posture.adverse_pattern(table(spark, d, "observations"), "case_id", "extraction_id")
+
+
+# -- matters -----------------------------------------------------------------
+def _words_sql(c: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace({c}, {_lit(P.CAPTION_NOISE)}, ' ', 'g'), '[^A-Za-z ]+', ' ', 'g')), '\\s+'), lambda w: length(w) > 2)))"
+
+
+_SIG = f"""s0 AS (SELECT extraction_id AS doc, trim(regexp_extract(h, {_lit(P.CAPTION)}, 1), ' ') AS plaintiff, trim(regexp_extract(h, {_lit(P.CAPTION)}, 2), ' ') AS defendant, trim(regexp_extract(h, {_lit(P.CASE_NUMBER)}, 1), ' ') AS docket, upper(regexp_extract(h, {_lit(P.CLAIM_NUMBER)}, 1)) AS claim
+  FROM (SELECT extraction_id, coalesce(text, '')[1:3000] AS h FROM extraction_results)),
+sig AS (SELECT *, CASE WHEN plaintiff <> '' AND defendant <> '' THEN array_to_string({_words_sql('plaintiff')}, ' ') || '|' || array_to_string({_words_sql('defendant')}, ' ') ELSE '' END AS caption_key FROM s0),
+mt AS (SELECT caption_key, min(doc) AS first_doc, count(*) AS documents, list_sort(coalesce(list(DISTINCT docket) FILTER (WHERE docket <> ''), [])) AS dockets, list_sort(coalesce(list(DISTINCT claim) FILTER (WHERE claim <> ''), [])) AS claims FROM sig WHERE caption_key <> '' GROUP BY caption_key)"""
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    return matters.read_signals(table(spark, d, "extraction_results"), "extraction_id")
+
+
+@_query(f"WITH {_SIG} SELECT doc, plaintiff, defendant, docket, claim, caption_key FROM sig")
+def matter_signals(spark, d):
+    return _signals(spark, d)
+
+
+@_query(f"WITH {_SIG} SELECT caption_key, first_doc, documents, array_to_string(dockets, ', ') AS dockets, array_to_string(claims, ', ') AS claims FROM mt")
+def matter_list(spark, d):
+    return matters.matters(_signals(spark, d)).withColumn("dockets", F.concat_ws(", ", "dockets")).withColumn("claims", F.concat_ws(", ", "claims"))
+
+
+_OWN = """own_{w} AS (SELECT {w}, count(*) AS owners, min(first_doc) AS matter FROM (SELECT DISTINCT caption_key, {w} FROM sig WHERE caption_key <> '' AND {w} <> '') JOIN mt USING (caption_key) GROUP BY {w})"""
+
+
+@_query(
+    f"""WITH {_SIG}, {_OWN.format(w='docket')}, {_OWN.format(w='claim')}
+SELECT s.doc, coalesce(m.first_doc, d.matter, c.matter) AS matter, CASE WHEN m.first_doc IS NOT NULL THEN 'caption' WHEN d.matter IS NOT NULL THEN 'docket' WHEN c.owners = 1 THEN 'claim' WHEN c.owners > 1 THEN 'first owner of claim' ELSE 'none' END AS how
+FROM sig s LEFT JOIN mt m ON s.caption_key = m.caption_key LEFT JOIN own_docket d ON s.docket = d.docket AND d.owners = 1 LEFT JOIN own_claim c ON s.claim = c.claim"""
+)
+def matter_assignment(spark, d):
+    return matters.assign(_signals(spark, d))
+
+
+@_query(f"""WITH {_SIG}, s AS (SELECT DISTINCT caption_key, claim FROM sig WHERE caption_key <> '' AND claim <> ''), o AS (SELECT claim, first_doc FROM s JOIN mt USING (caption_key)), f AS (SELECT claim, min(first_doc) AS matter_a FROM o GROUP BY claim)
+SELECT matter_a, first_doc AS matter_b, string_agg(DISTINCT claim, ', ' ORDER BY claim) AS why FROM o JOIN f USING (claim) WHERE first_doc <> matter_a GROUP BY ALL""")
+def matter_links(spark, d):
+    return matters.links(_signals(spark, d))
+
+
+# -- search ------------------------------------------------------------------
+_TOK = "list_filter(string_split(regexp_replace(lower(regexp_replace(title, '\\p{M}+', '', 'g')), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_BM = f"""t AS (SELECT result_id, {_TOK} AS t FROM search_results WHERE title IS NOT NULL),
+ix AS (SELECT term, result_id, len, count(*) AS tf FROM (SELECT result_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY ALL),
+st AS (SELECT (SELECT sum(len) FROM (SELECT DISTINCT result_id, len FROM ix)) AS total, (SELECT count(*) FROM search_results) AS n),
+q(term) AS (VALUES {', '.join(f"({_lit(w)})" for w in TITLE_QUERY.split())}),
+idf AS (SELECT term, CASE WHEN (n - df + 0.5) / (df + 0.5) > 1 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM (SELECT term, count(*) AS df FROM ix SEMI JOIN q USING (term) GROUP BY term), st),
+sc AS (SELECT result_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / (total / n)))), 6) AS score, count(*) AS matched FROM ix JOIN idf USING (term), st GROUP BY result_id)"""
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "search_results")
+    return search.inverted_index(docs, "result_id", "title"), docs
+
+
+@_query(f"WITH {_BM} SELECT term, result_id, CAST(len AS INTEGER) AS length, tf FROM ix")
+def title_index(spark, d):
+    return _index(spark, d)[0]
+
+
+@_query(f"WITH {_BM} SELECT result_id, score FROM sc WHERE matched = {len(TITLE_QUERY.split())} ORDER BY score DESC, result_id LIMIT 50")
+def bm25_search(spark, d):
+    ix, docs = _index(spark, d)
+    return search.bm25(ix, docs, "result_id", TITLE_QUERY)
+
+
+@_query(f"WITH {_BM} SELECT result_id, shard, round(sc.score, 6) AS score FROM sc JOIN search_results s USING (result_id) WHERE matched = {len(TITLE_QUERY.split())} ORDER BY shard, sc.score DESC, result_id LIMIT 30")
+def shard_order_search(spark, d):
+    ix, docs = _index(spark, d)
+    return search.shard_order(search.bm25(ix, docs, "result_id", TITLE_QUERY, None).join(docs.select("result_id", "shard"), "result_id"), "shard", 30).select("result_id", "shard", "score")
+
+
+@_query("""WITH known AS (SELECT DISTINCT source_id FROM search_results WHERE shard = 'shard-01.db'), f AS (SELECT * FROM search_results WHERE source_id NOT IN (SELECT source_id FROM known WHERE source_id IS NOT NULL) AND source_id IS NOT NULL)
+SELECT source_id, result_id, score FROM f QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC NULLS LAST, result_id) = 1""")
+def new_authorities(spark, d):
+    a = table(spark, d, "search_results").where("source_id is not null")
+    return search.new_only(a, a.where("shard = 'shard-01.db'"), "source_id").select("source_id", "result_id", "score")
+
+
+@_query("""SELECT source_id, result_id, min_id AS first_order FROM (SELECT source_id, result_id, min(result_id) OVER (PARTITION BY source_id) AS min_id, row_number() OVER (PARTITION BY source_id ORDER BY result_id DESC) AS r FROM search_results WHERE source_id IS NOT NULL) WHERE r = 1""")
+def authority_upsert(spark, d):
+    a = table(spark, d, "search_results").where("source_id is not null").select("source_id", "result_id")
+    return search.upsert(a.where("result_id % 2 = 1"), a.where("result_id % 2 = 0"), "source_id", "result_id").select("source_id", "result_id", "first_order")
+
+
+# -- quality -----------------------------------------------------------------
+_PAGES = """pg AS (SELECT extraction_id, string_split_regex(text, '<<<PAGE [0-9]+>>>\\n?') AS l FROM extraction_results WHERE text IS NOT NULL),
+pages AS (SELECT extraction_id, CAST(greatest(i - 1, 1) AS INTEGER) AS page, p AS text FROM (SELECT extraction_id, len(l) AS n, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM pg) WHERE n = 1 OR i > 1)"""
+_SC = f"""c AS (SELECT extraction_id, page, CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS INTEGER) AS characters, length(text) AS n, len(regexp_extract_all(text, {_lit(P.SANE)})) AS sane, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS words, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS toks FROM pages),
+m AS (SELECT extraction_id, quantile_cont(characters, 0.5) AS median FROM c GROUP BY 1),
+q AS (SELECT extraction_id, page, characters, CASE WHEN n > 0 THEN round(1 - sane / n, 4) ELSE 0 END AS noise_ratio, CASE WHEN len(words) > 0 THEN round(len(list_filter(words, lambda w: NOT regexp_matches(w, '[aeiouAEIOU]'))) / len(words), 4) ELSE 0 END AS vowelless_ratio,
+  CASE WHEN len(toks) > 0 THEN round(len(list_filter(toks, lambda w: length(w) <= 2)) / len(toks), 4) ELSE 0 END AS short_token_ratio, CASE WHEN median > 0 THEN round(characters / median, 4) ELSE 1 END AS relative_length, median FROM c JOIN m USING (extraction_id)),
+fin AS (SELECT *, list_filter([CASE WHEN characters < 40 THEN 'little text' END, CASE WHEN noise_ratio > 0.08 THEN 'noise' END, CASE WHEN vowelless_ratio > 0.28 THEN 'no vowels' END, CASE WHEN short_token_ratio > 0.45 THEN 'short tokens' END, CASE WHEN median > 0 AND relative_length < 0.18 THEN 'short page' END], lambda r: r IS NOT NULL) AS reasons FROM q)"""
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return quality.page_scores(lines.page_texts(table(spark, d, "extraction_results"), "extraction_id"), "extraction_id")
+
+
+@_query(f"WITH {_PAGES}, {_SC} SELECT extraction_id, page, characters, noise_ratio, vowelless_ratio, short_token_ratio, relative_length, array_to_string(reasons, '; ') AS reasons, len(reasons) > 0 AS failed FROM fin")
+def page_scores(spark, d):
+    return _scores(spark, d).withColumn("reasons", F.concat_ws("; ", "reasons"))
+
+
+_QUEUE = """disagree AS (SELECT extraction_id, page, 'fidelity' AS kind, 'stored verdict differs' AS why FROM fin JOIN page_quality p USING (extraction_id, page) WHERE p.failed <> (len(fin.reasons) > 0)),
+done AS (SELECT DISTINCT extraction_id, page, 'quality' AS kind FROM page_quality WHERE failed),
+queue AS (SELECT * FROM (SELECT extraction_id, page, 'quality' AS kind, array_to_string(reasons, '; ') AS why FROM fin WHERE len(reasons) > 0 UNION SELECT * FROM disagree) ANTI JOIN done USING (extraction_id, page, kind))"""
+
+
+def _queue(spark: SparkSession, d: str) -> DataFrame:
+    s, pq = _scores(spark, d), table(spark, d, "page_quality")
+    other = s.join(pq.select("extraction_id", "page", F.col("failed").alias("stored")), ["extraction_id", "page"]).where("stored <> failed").select("extraction_id", "page", F.lit("fidelity").alias("kind"), F.lit("stored verdict differs").alias("why"))
+    return quality.review_queue(s, other, pq.where("failed").select("extraction_id", "page", F.lit("quality").alias("kind")), "extraction_id")
+
+
+@_query(f"WITH {_PAGES}, {_SC}, {_QUEUE} SELECT * FROM queue")
+def review_queue(spark, d):
+    return _queue(spark, d)
+
+
+@_query(f"WITH {_PAGES}, {_SC}, {_QUEUE} SELECT count(*) AS items, CAST(coalesce(sum(CASE WHEN kind = 'quality' THEN 1 ELSE 0 END), 0) AS BIGINT) AS quality_items, count(DISTINCT extraction_id) AS documents FROM queue")
+def review_summary(spark, d):
+    return quality.queue_summary(_queue(spark, d), "extraction_id").withColumn("quality_items", F.coalesce("quality_items", F.lit(0)))
+
+
+# -- status ------------------------------------------------------------------
+_RANKS = "CASE upper(trim(bracket, ' ')) WHEN 'SPECULATIVE' THEN 1 WHEN 'EXPLAINED' THEN 2 WHEN 'VALIDATED' THEN 3 ELSE 0 END"
+_NAMES = "['UNVERIFIED', 'SPECULATIVE', 'EXPLAINED', 'VALIDATED']"
+
+
+@_query(f"SELECT jurisdiction, {_NAMES}[min({_RANKS}) + 1] AS status FROM search_results GROUP BY jurisdiction")
+def status_floor(spark, d):
+    return status.floor(table(spark, d, "search_results"), ["jurisdiction"], "bracket")
+
+
+@_query(
+    f"""WITH g AS (SELECT shard, sum(score * w) AS s, sum(w) AS w, count(*) AS mass, {', '.join(f'sum(CASE WHEN r = {k} THEN w ELSE 0 END) AS p{k}' for k in range(4))}, count(DISTINCT source_id) AS sources
+  FROM (SELECT shard, score, CAST(float_points AS DOUBLE) AS w, source_id, {_RANKS} AS r FROM search_results WHERE float_points >= 0) GROUP BY shard)
+SELECT shard, round(s / w, 6) AS value, mass, {_NAMES}[CASE greatest(p0, p1, p2, p3) WHEN p0 THEN 1 WHEN p1 THEN 2 WHEN p2 THEN 3 ELSE 4 END] AS status, sources FROM g WHERE w > 0"""
+)
+def status_stir(spark, d):
+    return status.stir(table(spark, d, "search_results"), ["shard"], "score", "float_points", "bracket", "source_id")
+
+
+_MARK = f"CASE {_RANKS} WHEN 3 THEN '[[[' || citation || ']]]' WHEN 2 THEN '{{[' || citation || ']}}' WHEN 1 THEN '[[' || citation || ']]' ELSE '[{{' || citation || '}}]' END"
+_CLAIMS = f"""notes AS (SELECT result_id, 'Held in ' || {_MARK} || ' and [[' || coalesce(year, 'n.d.') || ' term]].' AS note FROM search_results),
+cm AS (SELECT result_id, unnest(l) AS mark, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT result_id, regexp_extract_all(note, {_lit('(' + status.CLAIM + ')')}, 1) AS l FROM notes WHERE note IS NOT NULL)),
+cl AS (SELECT result_id, CAST(pos AS INTEGER) AS pos, CASE WHEN starts_with(mark, '[[[') THEN 'VALIDATED' WHEN starts_with(mark, '{{[') THEN 'EXPLAINED' WHEN starts_with(mark, '[[') THEN 'SPECULATIVE' ELSE 'UNVERIFIED' END AS status,
+  array_to_string(regexp_extract_all(lower(regexp_replace(mark, '^(\\[\\[\\[|\\{{\\[|\\[\\[|\\[\\{{)|(\\]\\]\\]|\\]\\}}|\\]\\]|\\}}\\])$', '', 'g')), '[a-z0-9]+'), ' ') AS claim_key FROM cm)"""
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    r = status.rank_of(F.col("bracket"))
+    mark = F.when(r == 3, F.concat(F.lit("[[["), "citation", F.lit("]]]"))).when(r == 2, F.concat(F.lit("{["), "citation", F.lit("]}"))).when(r == 1, F.concat(F.lit("[["), "citation", F.lit("]]"))).otherwise(F.concat(F.lit("[{"), "citation", F.lit("}]")))
+    note = F.concat(F.lit("Held in "), mark, F.lit(" and [["), F.coalesce("year", F.lit("n.d.")), F.lit(" term]]."))
+    return status.claims(table(spark, d, "search_results").withColumn("note", note), "result_id", "note")
+
+
+@_query(f"WITH {_CLAIMS} SELECT result_id, pos, status, claim_key FROM cl")
+def claim_spans(spark, d):
+    return _claims(spark, d).drop("claim")
+
+
+@_query(f"WITH {_CLAIMS}, dim(status) AS (VALUES ('UNVERIFIED'), ('SPECULATIVE'), ('EXPLAINED'), ('VALIDATED')) SELECT d.status, count(c.status) AS claims FROM dim d LEFT JOIN cl c ON c.status = d.status GROUP BY d.status")
+def claim_counts(spark, d):
+    return status.count_by_status(_claims(spark, d))
+
+
+@_query(f"WITH {_CLAIMS} SELECT claim_key, string_agg(DISTINCT status, ', ' ORDER BY status) AS statuses, count(*) AS places FROM cl WHERE claim_key <> '' GROUP BY claim_key HAVING count(DISTINCT status) > 1")
+def claim_tension(spark, d):
+    return status.tensions(_claims(spark, d)).withColumn("statuses", F.concat_ws(", ", "statuses"))
+
+
+@_query(f"WITH {_CLAIMS}, ok AS (SELECT DISTINCT claim_key FROM cl WHERE status = 'VALIDATED' AND result_id % 2 = 0) SELECT result_id, pos, claim_key, CASE WHEN status = 'VALIDATED' AND claim_key NOT IN (SELECT claim_key FROM ok) THEN 'EXPLAINED' ELSE status END AS status FROM cl")
+def claim_demotion(spark, d):
+    c = _claims(spark, d)
+    return status.demote(c, c.where("status = 'VALIDATED' and result_id % 2 = 0")).select("result_id", "pos", "claim_key", "status")
+
+
+# -- parties -----------------------------------------------------------------
+_KEY = "trim(regexp_replace(' ' || array_to_string(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'), ' '), '" + P.ENTITY_SUFFIX + "', ''), ' ')"
+
+
+@_query(f"SELECT DISTINCT name, {_KEY.format(c='name')} AS party_key FROM (SELECT matched_name AS name FROM conflict_hits UNION SELECT queried_name FROM conflict_hits) WHERE name IS NOT NULL")
+def party_keys(spark, d):
+    h = table(spark, d, "conflict_hits")
+    n = h.select(F.col("matched_name").alias("name")).unionByName(h.select(F.col("queried_name").alias("name"))).where("name is not null").distinct()
+    return n.select("name", parties.party_key(F.col("name")).alias("party_key"))
+
+
+@_query("SELECT case_id, array_to_string(CASE WHEN len(p) = 2 THEN list_transform(p, lambda x: regexp_replace(x, '^[ ,_-]+|[ ,_-]+$', '', 'g')) ELSE [] END, ' / ') AS sides FROM (SELECT case_id, string_split_regex(name, '(?i)\\s+(?:v\\.?|vs\\.?|versus)\\s+') AS p FROM cases WHERE name IS NOT NULL) WHERE len(p) <= 2")
+def caption_sides(spark, d):
+    c = table(spark, d, "cases").where("name is not null").where(F.size(F.split("name", r"(?i)\s+(?:v\.?|vs\.?|versus)\s+")) <= 2)
+    return c.select("case_id", F.concat_ws(" / ", parties.caption_parties(F.col("name"))).alias("sides"))
+
+
+@_query(
+    f"""WITH q AS (SELECT DISTINCT {_KEY.format(c='queried_name')} AS k FROM conflict_hits), p AS (SELECT DISTINCT {_KEY.format(c='n')} AS k FROM (SELECT unnest(conflict_parties) AS n FROM cases)),
+x AS (SELECT q.k AS query_key, p.k AS party_key, list_distinct(string_split(q.k, ' ')) AS a, list_distinct(string_split(p.k, ' ')) AS b FROM q, p WHERE q.k <> '' AND p.k <> '')
+SELECT query_key, party_key, CASE WHEN query_key = party_key THEN 'exact' ELSE 'possible' END AS confidence FROM x WHERE query_key = party_key OR (len(a) >= 2 AND len(b) >= 2 AND len(list_intersect(a, b)) / least(len(a), len(b)) >= 0.8)"""
+)
+def party_conflicts(spark, d):
+    q = table(spark, d, "conflict_hits").select(F.col("queried_name").alias("name"))
+    p = table(spark, d, "cases").select(F.explode("conflict_parties").alias("name"))
+    return parties.matches(q, p)
+
+
+# -- ledger ------------------------------------------------------------------
+_BROKEN = "\n".join(f"UNION ALL SELECT * FROM (SELECT extraction_id, '{c}' AS code, '{s}' AS severity FROM t WHERE {'NOT ' if k == 'required_pattern' else ''}regexp_matches(text, {_lit('(?im)' + p)}))" for c, k, s, p in P.FILING_RULES)
+
+
+@_query(f"WITH t AS (SELECT extraction_id, coalesce(text, '') AS text FROM extraction_results) SELECT * FROM (SELECT 0::BIGINT AS extraction_id, '' AS code, '' AS severity WHERE false {_BROKEN})")
+def rule_findings(spark, d):
+    return ledger.rule_findings(table(spark, d, "extraction_results"), "extraction_id")
+
+
+_STAMP = "sha256(concat_ws(chr(31), CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR), coalesce(event_type, '')))"
+
+
+@_query(
+    f"""WITH log AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 97 = 0 THEN 1000000 ELSE 0 END AS seq, {_STAMP} AS stamp FROM events),
+l2 AS (SELECT *, CASE WHEN event_id % 101 = 0 THEN 'x' ELSE lag(stamp) OVER (PARTITION BY user_id ORDER BY seq) END AS prev FROM log),
+x AS (SELECT *, lag(seq) OVER w AS ls, lag(stamp) OVER w AS lh FROM l2 WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT user_id, CAST(seq AS BIGINT) AS seq, CASE WHEN ls IS NOT NULL AND seq <> ls + 1 THEN 'gap' ELSE 'broken link' END AS why FROM x WHERE (ls IS NOT NULL AND seq <> ls + 1) OR (lh IS NOT NULL AND prev IS DISTINCT FROM lh)"""
+)
+def chain_breaks(spark, d):
+    """Breaks planted in a log made of the events, one chain for each user."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id")
+    e = table(spark, d, "events")
+    log = e.select("user_id", "event_id", (F.row_number().over(w.orderBy("event_id")).cast("bigint") + F.when(F.col("event_id") % 97 == 0, 1000000).otherwise(0)).alias("seq"), ledger.link_hash(F.col("event_id"), F.col("user_id"), F.col("event_type")).alias("stamp"))
+    log = log.withColumn("prev", F.when(F.col("event_id") % 101 == 0, "x").otherwise(F.lag("stamp").over(w.orderBy("seq"))))
+    return ledger.chain_breaks(log, ["user_id"], "seq", "stamp", "prev")
+
+
+_FILED = "f AS (SELECT f.file_id, normalized_text, length(text) AS size, sha256(text) AS sha FROM ingested_files f LEFT JOIN extraction_results USING (file_id))"
+
+
+@_query(f"""WITH {_FILED}, e AS (SELECT file_id, CASE WHEN file_id % 50 = 0 THEN size + 1 ELSE size END AS size, CASE WHEN file_id % 70 = 0 THEN 'x' ELSE sha END AS sha FROM f WHERE sha IS NOT NULL), g AS (SELECT file_id, size, sha FROM f WHERE sha IS NOT NULL AND file_id % 30 <> 0)
+SELECT e.file_id, CASE WHEN g.size IS NULL THEN 'missing' WHEN e.size <> g.size THEN 'size' WHEN e.sha <> g.sha THEN 'hash' ELSE 'ok' END AS state FROM e LEFT JOIN g USING (file_id)""")
+def evidence_integrity(spark, d):
+    """Files against a manifest with planted differences."""
+    x = table(spark, d, "ingested_files").select("file_id").join(table(spark, d, "extraction_results").select("file_id", "text"), "file_id").where("text is not null").select("file_id", F.length("text").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    want = x.withColumn("size", F.when(F.col("file_id") % 50 == 0, F.col("size") + 1).otherwise(F.col("size"))).withColumn("sha", F.when(F.col("file_id") % 70 == 0, "x").otherwise(F.col("sha")))
+    return ledger.integrity(want, x.where("file_id % 30 <> 0"), "file_id")
+
+
+@_query("SELECT file_id, document_type, side FROM (SELECT file_id, document_type, 'a' AS side FROM ingested_files WHERE document_type <> upper(trim(document_type, ' ')) UNION ALL SELECT file_id, upper(trim(document_type, ' ')), 'b' FROM ingested_files WHERE document_type <> upper(trim(document_type, ' ')))")
+def manifest_diff(spark, d):
+    f = table(spark, d, "ingested_files").select("file_id", "document_type")
+    return ledger.manifest_diff(f, f.withColumn("document_type", F.upper(F.trim("document_type"))))
+
+
+# -- maps --------------------------------------------------------------------
+_CH = """CASE WHEN kind IN ('AMOUNT', 'MEASURE') THEN 1 WHEN kind IN ('PARTY_A', 'PARTY_B', 'JUDGE', 'COURT', 'STATE', 'CITATION', 'STATUTE') THEN 2 WHEN kind IN ('DATE', 'DOCKET') THEN 3 ELSE 0 END"""
+_EDGES = f"""pc AS (SELECT doc, {', '.join(f'round(sum(CASE WHEN {_CH} = {c} THEN pressure ELSE 0 END), 4) AS p{c}' for c in (1, 2, 3))}, round(sum(pressure), 4) AS pressure FROM floats GROUP BY doc),
+od AS (SELECT *, list_sort(list_filter([{{m: -p1, c: 1}}, {{m: -p2, c: 2}}, {{m: -p3, c: 3}}], lambda s: s.m < 0)) AS o FROM pc),
+edges AS (SELECT doc, p1, p2, p3, pressure, coalesce(o[1].c, 0) AS "left", coalesce(o[2].c, 0) AS "right", xor(coalesce(o[1].c, 0), coalesce(o[2].c, 0)) AS residue FROM od)"""
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.document_edges(points.float_points(_hits(spark, d)))
+
+
+@_query(f'WITH {_HITS}, {_FLOATS}, {_EDGES} SELECT doc, p1, p2, p3, pressure, "left", "right", residue FROM edges')
+def doc_edges(spark, d):
+    return _edges(spark, d)
+
+
+_LAYERS = f"""lp AS (SELECT doc, 'FLOAT' AS layer, round(sum(pressure), 4) AS pressure FROM floats GROUP BY doc UNION ALL SELECT doc, 'MIX', round(sum(pressure), 4) FROM mixes GROUP BY doc UNION ALL SELECT doc, 'STIR', round(sum(pressure), 4) FROM stirs GROUP BY doc),
+ly AS (SELECT e.doc, v.pos, v.layer, CASE v.pos WHEN 0 THEN e."left" WHEN 1 THEN e."right" ELSE e.residue END AS channel, coalesce(lp.pressure, 0) AS pressure FROM edges e CROSS JOIN (VALUES (0, 'FLOAT'), (1, 'MIX'), (2, 'STIR')) v(pos, layer) LEFT JOIN lp ON lp.doc = e.doc AND lp.layer = v.layer)"""
+
+
+def _layers(spark: SparkSession, d: str) -> DataFrame:
+    h = _hits(spark, d)
+    f = points.float_points(h)
+    s = lambda x, n: x.groupBy("doc").agg(F.round(F.sum("pressure"), 4).alias("pressure")).withColumn("layer", F.lit(n))
+    return graph.layers(graph.document_edges(f), s(f, "FLOAT").unionByName(s(points.relation_points(h), "MIX")).unionByName(s(points.recurrence_points(h), "STIR")))
+
+
+@_query(f"WITH {_HITS}, {_FLOATS}, {_STIRS}, {_MIXES}, {_EDGES}, {_LAYERS} SELECT doc, pos, layer, channel, pressure FROM ly")
+def layer_nodes(spark, d):
+    return _layers(spark, d)
+
+
+@_query(f"WITH {_HITS}, {_FLOATS}, {_STIRS}, {_MIXES}, {_EDGES}, {_LAYERS}, n AS (SELECT *, lead(channel) OVER w AS c2, lead(pressure) OVER w AS q2 FROM ly WINDOW w AS (PARTITION BY doc ORDER BY pos)) SELECT doc, pos, xor(channel, c2) AS residue, round((pressure + q2) / 2, 3) AS pressure FROM n WHERE c2 IS NOT NULL")
+def layer_edges(spark, d):
+    return graph.sequence_edges(_layers(spark, d), ["doc"], "pos")
+
+
+@_query(f"""WITH {_HITS}, {_FLOATS}, t AS ({_TOP}), n AS (SELECT doc, rank, {_CH} AS channel, pressure FROM t WHERE rank <= 16), x AS (SELECT *, lead(channel) OVER w AS c2, lead(pressure) OVER w AS q2 FROM n WINDOW w AS (PARTITION BY doc ORDER BY rank))
+SELECT doc, rank, xor(channel, c2) AS residue, round((pressure + q2) / 2, 3) AS pressure FROM x WHERE c2 IS NOT NULL""")
+def point_edges(spark, d):
+    t = points.top_points(points.float_points(_hits(spark, d)), ["doc"], 16, ["first_seq"])
+    return graph.sequence_edges(t.select("doc", "rank", graph.channel_of(F.col("kind")).alias("channel"), "pressure"), ["doc"], "rank")
+
+
+@_query(f'WITH {_HITS}, {_FLOATS}, {_EDGES} SELECT "left", "right", count(*) AS documents, round(sum(pressure), 2) AS pressure FROM edges GROUP BY ALL')
+def endpoint_groups(spark, d):
+    return graph.endpoint_groups(_edges(spark, d))
+
+
+@_query(
+    f"""WITH {_HITS}, {_FLOATS}, {_EDGES}, {_DOCS}, g AS (SELECT case_id, count(*) AS documents, max((pressure, doc)) AS hi, min((pressure, doc)) AS lo, round(sum(p1), 4) AS t1, round(sum(p2), 4) AS t2, round(sum(p3), 4) AS t3 FROM edges JOIN docs USING (doc) GROUP BY case_id)
+SELECT case_id, documents, hi[2] AS strongest, lo[2] AS weakest, CASE WHEN t1 <= t2 AND t1 <= t3 THEN 1 WHEN t2 <= t3 THEN 2 ELSE 3 END AS absent, 'UNVERIFIED' AS status FROM g"""
+)
+def map_projections(spark, d):
+    docs = table(spark, d, "extraction_results").select(F.col("extraction_id").alias("doc"), "case_id").distinct()
+    return graph.projections(_edges(spark, d).join(docs, "doc").withColumn("status", F.lit("UNVERIFIED")), "case_id")
+
+
+@_query(f"WITH {_HITS}, {_MIXES} SELECT doc, value, p AS part FROM (SELECT doc, value, unnest(list_filter(string_split_regex(value, '<->|\\|'), lambda x: trim(x, ' ') <> '')[1:10]) AS p FROM mixes) GROUP BY ALL")
+def relation_parts(spark, d):
+    return points.relation_points(_hits(spark, d)).select("doc", "value", F.explode(graph.relation_components(F.col("value"))).alias("part"))
+
+
+@_query("""WITH RECURSIVE n AS (SELECT nation.n_nationkey + 100 AS id, nation.n_regionkey AS parent FROM nation UNION ALL SELECT r_regionkey, NULL FROM region), w AS (SELECT id, parent AS up, CAST(id AS VARCHAR) AS path, 1 AS d FROM n UNION ALL SELECT w.id, n.parent, n.id || ' > ' || w.path, d + 1 FROM w JOIN n ON w.up = n.id WHERE d < 5)
+SELECT id, path FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY d DESC) = 1""")
+def breadcrumbs(spark, d):
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("id"), F.col("n_regionkey").alias("parent"))
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lit(None).cast("int").alias("parent"))
+    return graph.breadcrumbs(spark, n.unionByName(r))
