@@ -605,3 +605,53 @@ def breadcrumbs(spark, d):
     n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("id"), F.col("n_regionkey").alias("parent"))
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lit(None).cast("int").alias("parent"))
     return graph.breadcrumbs(spark, n.unionByName(r))
+
+
+# -- nested and sequential results (checked by tests) ---------------------------
+@_query()
+def cross_carry(spark, d):
+    """Points carried into relations and recurrences."""
+    from ..operators import carry
+
+    return carry.cross_carry(_hits(spark, d))
+
+
+@_query(
+    """SELECT case_id, CAST(hit_id AS VARCHAR) AS node, trim(coalesce(matched_name, ''), ' ') AS statement, CASE WHEN hit_id % 5 = 0 THEN 'SPECULATIVE' ELSE 'EXPLAINED' END AS status, CAST(hit_id % 3 AS INTEGER) AS evidence FROM conflict_hits"""
+)
+def claims_graph(spark, d):
+    """Claim graphs made of the hits of each case, read back from JSON; every fifth has a contradicted last step."""
+    from ..operators import claims_graph as cg
+
+    h = table(spark, d, "conflict_hits")
+    past = F.when(F.col("hit_id") % 5 == 0, F.array(F.struct(F.lit("pin").alias("action"), F.lit("UNVERIFIED").alias("fromBracket"), F.lit("SPECULATIVE").alias("toBracket")), F.struct(F.lit("contradicted").alias("action"), F.lit("SPECULATIVE").alias("fromBracket"), F.lit("UNVERIFIED").alias("toBracket"))))
+    node = F.struct(F.col("hit_id").cast("string").alias("id"), F.lit("claim").alias("kind"), F.coalesce("matched_name", F.lit("")).alias("statement"), F.lit("EXPLAINED").alias("bracket"), F.lit("B").alias("channel"), F.slice(F.array(F.lit("a"), F.lit("b")), 1, (F.col("hit_id") % 3).cast("int")).alias("sourceEvidenceIds"), past.alias("history"))
+    # A graph for each hit: a case's hits are not gathered in one row.
+    raw = h.select("case_id", F.to_json(F.struct(F.array(node).alias("nodes"))).alias("raw"))
+    return cg.project(cg.parse(raw, "case_id", "raw"), "case_id")
+
+
+@_query()
+def case_brief(spark, d):
+    """Each case with its documents by rank, findings and strongest relations, nested."""
+    from . import brief
+
+    r = doc_roles(spark, d).join(table(spark, d, "ingested_files").select("file_id", "case_id", F.col("original").alias("source")), "file_id").where("case_id is not null")
+    s = _supports(spark, d)
+    return brief.brief(r, posture.resolve(s, "case_id"), s, top_relations(spark, d))
+
+
+@_query("""SELECT row_number() OVER (PARTITION BY case_id ORDER BY created_at, file_id) AS arrival, file_id, case_id FROM (SELECT file_id, case_id, ingested_at AS created_at FROM ingested_files) WHERE case_id IS NOT NULL""")
+def arrival_order(spark, d):
+    from pyspark.sql import Window
+
+    f = table(spark, d, "ingested_files").where("case_id is not null")
+    return f.select(F.row_number().over(Window.partitionBy("case_id").orderBy("ingested_at", "file_id")).cast("bigint").alias("arrival"), "file_id", "case_id")
+
+
+@_query("SELECT extraction_id, replace(regexp_replace(regexp_replace('<p>' || replace(text, chr(10), '<br>') || '</p>', '<br>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&amp;', '&') AS text FROM extraction_results WHERE text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '&')")
+def html_text(spark, d):
+    """Markup made of texts and taken off again with column functions (entities are the reader's work)."""
+    x = table(spark, d, "extraction_results").where("text is not null and not contains(text, '<') and not contains(text, '&')")
+    marked = F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("<br>")), F.lit("</p>"))
+    return x.select("extraction_id", F.regexp_replace(F.regexp_replace(marked, "<br>", "\n"), "<[^>]+>", "").alias("text"))
