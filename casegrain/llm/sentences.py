@@ -43,7 +43,7 @@ _CANDIDATE = re.compile(
     rf"(?P<space>(?:[.!?؟।॥…。！？;;][{_CLOSERS}]*(?:[   ]?[»][,.]?)?(?=\s))"  # a mark, then white space
     rf"|(?:[.!?…][   ]?»(?=\s)))"
     rf"|(?P<glued>(?<=[a-zà-ÿ0-9)][a-zà-ÿ0-9)])[.!?][”\"]?(?=[“\"]?[A-ZÀ-Þ][a-zà-ÿ]+ ))"  # a forgotten space
-    rf"|(?P<none>[。！？…!?][{_CLOSERS}]*(?=[{_CJK}「『“《]))"  # scripts that put none behind it
+    rf"|(?P<none>[。！？…!?]+[{_CLOSERS[:-1]}]*(?=[{_CJK}「『“《]))"  # scripts that put none behind it
     rf"|(?P<thai>(?<=[\u0e00-\u0e7f0-9%)])(?=[ ]+[\u0e00-\u0e7f]))"  # scripts without marks
 )
 _BLANK = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+|[  ]|\f+")
