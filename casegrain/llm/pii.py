@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..io import spread, staged
 from . import crf_tagger as M
+from .pii_train import GIVEN
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 #: Texts decoded together in a task.
@@ -50,6 +51,9 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | Non
     if kind == "email":
         s = s.rstrip(".")
         b = a + len(s)
+        if " " in s and (m := re.search(r"(?:[\w+-]+\s+dot\s+)+$", text[max(0, a - 60) : a])):
+            a = max(0, a - 60) + m.start()
+            s = text[a:b]
         return (a, b, kind) if len(s) > 5 and (_EMAIL.match(re.sub(r"\s+", " ", s)) or "@" in s and "." in s.split("@")[-1]) else None
     if kind == "phone":
         s = s.rstrip(".")
@@ -77,6 +81,8 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | Non
         elif m := re.compile(r"\d\d\s\d{6}(?:\s[A-Z])?$").match(text[a:b]):
             if more := re.compile(r"\d\d\s\d{6}\s[A-Z]\s\d{3}\b").match(text, a):
                 b = more.end()
+        if re.fullmatch(r"\d{10}", text[a:b]):
+            return a, b, "phone"
         n = sum(c.isdigit() or c in "lIOo" for c in text[a:b])
         return (a, b, kind) if 7 <= n <= 14 else None
     if kind == "address":
@@ -88,6 +94,14 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | Non
         return (a, b, kind) if len(s) >= 8 and any(c.isdigit() for c in s) else None
     while m := _TITLE.match(text[a:b]):
         a += m.end()
+    # A transcript's mark for an answer is no initial.
+    if (m := re.match(r"[AQ]\.\s+", text[a:b])) and not text[text.rfind("\n", 0, a) + 1 : a].strip(" >|") and ("\nQ. " in text or re.match(r"[A-Z][a-z]+\s+[A-Z]", text[a + m.end() : b])):
+        a += m.end()
+    if m := re.search(r"(?:^|(?<=[\s(“\"]))(?:(?:%s)\s+(?:[A-Z]\.\s+)?|(?:[B-Z]\.\s+)+)$" % "|".join(GIVEN), text[max(0, a - 24) : a]):
+        a = max(0, a - 24) + m.start()
+    if m := re.match(r",\s+(?:%s)(?=[.,;\n]|\s+and\b|$)" % "|".join(GIVEN), text[b : b + 20]):
+        if "," not in text[a:b] and " " not in text[a:b].strip():
+            b += m.end()
     s = text[a:b]
     if s.endswith("."):
         s = s.rstrip(".")
@@ -105,6 +119,9 @@ def _parted(text: str, a: int, b: int, kind: str) -> list[tuple[int, int, str]]:
     if kind == "email" and len(re.findall(r"@|\bat\b", s)) > 1:
         got = [(a + m.start(), a + m.end(), kind) for m in _EMAILS.finditer(s)]
         return got or [(a, b, kind)]
+    if kind == "name" and (cuts := list(re.finditer(r"[ \t]*\n[ \t]*\r?\n\s*", s))):
+        edges = [0, *(x for m in cuts for x in m.span()), len(s)]
+        return [(a + x, a + y, kind) for x, y in zip(edges[::2], edges[1::2])]
     if kind == "address" and (m := re.search(r"\s+to\s+(?=\d|[A-Z])", s)) and m.start() > 8 and len(s) - m.end() > 8:
         return [(a, a + m.start(), kind), (a + m.end(), b, kind)]
     return [(a, b, kind)]
