@@ -97,7 +97,7 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | Non
     # A transcript's mark for an answer is no initial.
     if (m := re.match(r"[AQ]\.\s+", text[a:b])) and not text[text.rfind("\n", 0, a) + 1 : a].strip(" >|") and ("\nQ. " in text or re.match(r"[A-Z][a-z]+\s+[A-Z]", text[a + m.end() : b])):
         a += m.end()
-    if m := re.search(r"(?:^|(?<=[\s(“\"]))(?:(?:%s)(?:[ \t]+|[ \t]*\n[ \t]*)(?:[A-Z]\.\s+)?|(?:[B-Z]\.\s+)+)$" % "|".join(GIVEN), text[max(0, a - 24) : a]):
+    if m := re.search(r"(?:^|(?<=[\s(“\"]))(?:(?:%s)(?:[ \t]+|[ \t]*\n[ \t]*)(?:[A-Z]\.\s+)?|(?:[B-Z]\.\s+)+)\Z" % "|".join(GIVEN), text[max(0, a - 24) : a]):
         a = max(0, a - 24) + m.start()
     if m := re.match(r",\s+(?:%s)(?=[.,;\n]|\s+and\b|$)" % "|".join(GIVEN), text[b : b + 20]):
         if "," not in text[a:b] and " " not in text[a:b].strip():
