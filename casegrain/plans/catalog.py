@@ -655,3 +655,62 @@ def html_text(spark, d):
     x = table(spark, d, "extraction_results").where("text is not null and not contains(text, '<') and not contains(text, '&')")
     marked = F.concat(F.lit("<p>"), F.replace("text", F.lit("\n"), F.lit("<br>")), F.lit("</p>"))
     return x.select("extraction_id", F.regexp_replace(F.regexp_replace(marked, "<br>", "\n"), "<[^>]+>", "").alias("text"))
+
+
+# -- scalars, scopes and selections ---------------------------------------------
+@_query(
+    """SELECT result_id, coalesce(nullif(citation, ''), nullif(source_id, ''), 'none') AS label, coalesce(TRY_CAST(trim(year, ' ') AS INTEGER) > 0 AND 2026 - TRY_CAST(trim(year, ' ') AS INTEGER) > 15, false) AS stale,
+regexp_extract(trim(title, ' '), '^(.*?[.!?])(?:\\s|$)', 1) AS first_sentence, CASE WHEN t = '' THEN 'item' ELSE t END AS file_name
+FROM (SELECT *, regexp_replace(regexp_replace(trim(title, ' '), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:80] AS t FROM search_results) WHERE title IS NOT NULL AND NOT contains(title, chr(10)) AND NOT contains(title, chr(13)) AND NOT regexp_matches(title, '[\\x{85}\\x{2028}\\x{2029}]')"""
+)
+def scalar_functions(spark, d):
+    from ..functions import scalars as s
+
+    t = table(spark, d, "search_results").where(r"title is not null and not title rlike '[\\n\\r\\u0085\\u2028\\u2029]'")
+    return t.select("result_id", F.coalesce(s.first_of(F.col("citation"), F.col("source_id")), F.lit("none")).alias("label"), s.stale(F.col("year"), 2026).alias("stale"), s.first_sentence(F.col("title")).alias("first_sentence"), s.safe_name(F.col("title")).alias("file_name"))
+
+
+@_query(
+    f"""WITH {_ROLE}, {_SIG}, {_OWN.format(w='docket')}, {_OWN.format(w='claim')},
+asg AS (SELECT s.doc, coalesce(m.first_doc, d.matter, c.matter) AS matter FROM sig s LEFT JOIN mt m ON s.caption_key = m.caption_key LEFT JOIN own_docket d ON s.docket = d.docket AND d.owners = 1 LEFT JOIN own_claim c ON s.claim = c.claim),
+r AS (SELECT e.extraction_id AS doc, k.rank, role.role FROM extraction_results e JOIN ranked k USING (file_id) JOIN role USING (rank))
+SELECT matter, count(*) AS documents, CAST(sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS controlling, CAST(sum(CASE WHEN role = 'operative_pleading' THEN 1 ELSE 0 END) AS BIGINT) AS defining, CAST(sum(CASE WHEN role IN ('operative_pleading', 'responsive_pleading', 'motion') THEN 1 ELSE 0 END) AS BIGINT) AS assertions
+FROM asg JOIN r USING (doc) WHERE matter IS NOT NULL GROUP BY matter"""
+)
+def matter_scope(spark, d):
+    """Documents of each matter: all, those that control, those that define its claims, and parties' assertions."""
+    e = table(spark, d, "extraction_results").select(F.col("extraction_id").alias("doc"), "file_id")
+    j = matters.assign(_signals(spark, d)).where("matter is not null").join(e, "doc").join(doc_roles(spark, d), "file_id")
+    n = lambda c: F.sum(c.cast("bigint"))
+    return j.groupBy("matter").agg(F.count("*").alias("documents"), n(F.col("rank") <= 3).alias("controlling"), n(F.col("role") == "operative_pleading").alias("defining"), n(F.col("role").isin("operative_pleading", "responsive_pleading", "motion")).alias("assertions"))
+
+
+@_query(f"""WITH {_SIG}, c AS (SELECT DISTINCT extraction_id AS first_doc, case_id FROM extraction_results) SELECT case_id, caption_key, CAST(dense_rank() OVER (PARTITION BY case_id ORDER BY first_doc) AS INTEGER) AS matter_no FROM mt JOIN c USING (first_doc)""")
+def matter_numbers(spark, d):
+    m = matters.matters(_signals(spark, d)).join(table(spark, d, "extraction_results").select(F.col("extraction_id").alias("first_doc"), "case_id").distinct(), "first_doc")
+    return matters.numbered(m).select("case_id", "caption_key", "matter_no")
+
+
+@_query("SELECT p_brand, max((p_retailprice, p_partkey))[2] AS p_partkey FROM part WHERE p_size <= 25 AND p_retailprice <= 1500 GROUP BY p_brand")
+def fitting_best(spark, d):
+    from ..operators import selection
+
+    return selection.best(selection.fitting(table(spark, d, "part"), {"p_size": 25, "p_retailprice": 1500}), ["p_brand"], ["p_retailprice", "p_partkey"], ["p_partkey"])
+
+
+@_query(f"""WITH {_BM}, known AS (SELECT source_id FROM search_results WHERE shard = 'shard-01.db' AND source_id IS NOT NULL), f AS (SELECT s.source_id, s.result_id, round(sc.score, 6) AS score FROM sc JOIN search_results s USING (result_id) WHERE matched = {len(TITLE_QUERY.split())} AND s.source_id IS NOT NULL AND s.source_id NOT IN (SELECT source_id FROM known))
+SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, result_id) = 1""")
+def research_for_question(spark, d):
+    """What a question's search finds and is not attached yet."""
+    ix, docs = _index(spark, d)
+    hit = search.bm25(ix, docs, "result_id", TITLE_QUERY, None).join(docs.select("result_id", "source_id", "shard").where("source_id is not null"), "result_id")
+    return search.new_only(hit, docs.where("shard = 'shard-01.db' and source_id is not null"), "source_id").select("source_id", "result_id", "score")
+
+
+@_query("SELECT extraction_id, page, noise_ratio AS stored, CASE WHEN noise_ratio > 1 THEN noise_ratio / 100 ELSE noise_ratio END AS noise_ratio, row_number() OVER (PARTITION BY extraction_id ORDER BY page) AS nth FROM page_quality")
+def stored_quality(spark, d):
+    """Stored noise ratios, those written as a percentage as a ratio."""
+    from pyspark.sql import Window
+
+    n = F.col("noise_ratio")
+    return table(spark, d, "page_quality").select("extraction_id", "page", n.alias("stored"), F.when(n > 1, n / 100).otherwise(n).alias("noise_ratio"), F.row_number().over(Window.partitionBy("extraction_id").orderBy("page")).cast("bigint").alias("nth"))

@@ -239,3 +239,14 @@ def read_shards(spark: SparkSession, path: str, table: str = "docs") -> DataFram
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.db").load(path)
     return files.select("path", "content").mapInPandas(run, "shard string, " + ", ".join(f"{n} string" for n in names))
+
+
+def read_documents(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """One row for each JSON document (case metadata, point records, rule packs) of a pattern; documents that are no JSON are left out."""
+    raw = spark.read.schema(schema + ", _bad string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(pattern)
+    return raw.where("_bad is null").drop("_bad")
+
+
+def rules_of(packs: DataFrame) -> DataFrame:
+    """pack, code, type, severity, pattern of rule packs (id, rules): what ledger.rule_findings takes, after a collect of the few rules."""
+    return packs.select(F.col("id").alias("pack"), F.explode("rules").alias("r")).select("pack", "r.code", "r.type", "r.severity", "r.pattern")
