@@ -60,19 +60,34 @@ def search(lines: DataFrame, query: str, source: str, limit: int = 50) -> DataFr
     return x.select(source, "line", "text", "score").orderBy(F.desc("score"), source, "line").limit(max(1, min(limit, 200)))
 
 
+REACH = 16  # lines by which the widening steps 1, 2, 3, 4 and 6 can go beyond a chosen one
+
+
+def _ruling(costs: list[int], share: int) -> list[int]:
+    """Places of the lines that a controlling document takes, in order, skipping what does not fit."""
+    out, used = [], 0
+    for k, c in enumerate(costs):
+        if used + c <= share:
+            out.append(k)
+            used += c
+    return out
+
+
 def _choose(rows: list[dict], budget: int) -> list[int]:
     """Indexes of the lines that a context takes, for one case.
 
-    Controlling documents (rank 1 to 3) share 35 % of the budget; then documents by
-    their five best lines, each line with its neighbours, a document up to its cap;
-    what is left widens the neighbourhoods of what is taken.
+    rows: source, rank, pos (place in the source), text, score, ruled (taken by its
+    controlling document's share), strength (sum of the source's five best lines).
+    Documents follow by strength, each line with its neighbours, a document up to its
+    cap; what is left widens the neighbourhoods of what is taken.  Without any scored
+    line, lines are read by rank and place.
     """
     cost = [len(r["text"]) + 8 for r in rows]
+    at = {(r["source"], r["pos"]): k for k, r in enumerate(rows)}
     chosen: set[int] = set()
     spent = 0
-    order = sorted(range(len(rows)), key=lambda k: (rows[k]["rank"], k))
     if not any(r["score"] > 0 for r in rows):
-        for k in order:
+        for k in sorted(range(len(rows)), key=lambda k: (rows[k]["rank"], rows[k]["source"], rows[k]["pos"])):
             if spent + cost[k] <= budget:
                 chosen.add(k)
                 spent += cost[k]
@@ -80,31 +95,27 @@ def _choose(rows: list[dict], budget: int) -> list[int]:
     by: dict[str, list[int]] = {}
     for k, r in enumerate(rows):
         by.setdefault(r["source"], []).append(k)
-    ruling = sorted((s for s in by if rows[by[s][0]]["rank"] <= 3), key=lambda s: (rows[by[s][0]]["rank"], s))
-    if ruling:
-        share = int(0.35 * budget) // len(ruling)
-        for s in ruling:
-            used = 0
-            for k in by[s]:
-                if used + cost[k] <= share and spent + cost[k] <= budget:
-                    chosen.add(k)
-                    used += cost[k]
-                    spent += cost[k]
-    best = {s: sum(sorted((rows[k]["score"] for k in ks), reverse=True)[:5]) for s, ks in by.items()}
-    ranked = sorted((s for s in by if best[s] > 0), key=lambda s: (-best[s], s))
+        if r["ruled"]:
+            chosen.add(k)
+            spent += cost[k]
+    ranked = sorted((s for s, ks in by.items() if rows[ks[0]]["strength"] > 0), key=lambda s: (-rows[by[s][0]]["strength"], s))
     cap = max(1500, budget // max(4, min(len(ranked), 8)))
+
+    def near(k: int, steps: tuple[int, ...]) -> list[int]:
+        return [x for d in steps if (x := at.get((rows[k]["source"], rows[k]["pos"] + d))) is not None and x not in chosen]
+
     for s in ranked:
         used = sum(cost[k] for k in by[s] if k in chosen)
-        for k in sorted((k for k in by[s] if rows[k]["score"] > 0), key=lambda k: (-rows[k]["score"], -k)):
-            for x in (k - 1, k, k + 1):
-                if 0 <= x < len(rows) and rows[x]["source"] == s and x not in chosen and used + cost[x] <= cap and spent + cost[x] <= budget:
+        for k in sorted((k for k in by[s] if rows[k]["score"] > 0), key=lambda k: (-rows[k]["score"], -rows[k]["pos"])):
+            for x in near(k, (-1, 0, 1)):
+                if used + cost[x] <= cap and spent + cost[x] <= budget:
                     chosen.add(x)
                     used += cost[x]
                     spent += cost[x]
     for reach in (2, 3, 4, 6):
-        for k in sorted(chosen):
-            for x in (k - reach, k + reach):
-                if 0 <= x < len(rows) and rows[x]["source"] == rows[k]["source"] and x not in chosen and spent + cost[x] <= budget:
+        for k in sorted(chosen, key=lambda k: (rows[k]["source"], rows[k]["pos"])):
+            for x in near(k, (-reach, reach)):
+                if spent + cost[x] <= budget:
                     chosen.add(x)
                     spent += cost[x]
     return sorted(chosen)
@@ -113,22 +124,54 @@ def _choose(rows: list[dict], budget: int) -> list[int]:
 def context(scored: DataFrame, budget: int = 24_000) -> DataFrame:
     """case_id, source, line, text, chars: the lines of each case that fit a budget of characters.
 
-    scored: case_id, source, rank, line, text, score.  The choice is a greedy fold over
-    one case; before it, each document keeps the lines that can be reached at all
-    (those within six lines of a scored one, and the first lines that a budget could
-    hold), so that a case of any size comes to the fold with bounded rows.
+    scored: case_id, source, rank, line, text, score.  A first pass works document by
+    document: controlling documents (rank 1 to 3) take lines in order from 35 % of the
+    budget in equal shares; of the scored lines those stay that a cap could hold, with
+    what the widening can reach.  The fold over a case then sees, of at most as many
+    documents as a budget could hold a line of, these lines only: its rows are bounded
+    by the budget, whatever the case's size.  Rows without case_id have no context.
     """
-    w = Window.partitionBy("case_id", "source").orderBy("line")
-    x = scored.withColumn("near", F.max("score").over(w.rowsBetween(-6, 6)) > 0)
-    x = x.withColumn("before", F.sum(F.length("text") + 8).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    per = Window.partitionBy("case_id", "source")
-    x = x.withColumn("strength", F.max("score").over(per)).where((F.col("near") | (F.col("rank") <= 3)) & (F.coalesce("before", F.lit(0)) <= 40 * budget))
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["source", "line"])
-        rows = f[["source", "rank", "text", "score"]].to_dict("records")
-        out = f.iloc[_choose(rows, budget)][["case_id", "source", "line", "text"]].copy()
+    least = 9  # cost of the shortest line
+    lines_, sources = max(1500, budget // 4) // least, budget // least
+    x = scored.where("case_id is not null")
+    five = Window.partitionBy("case_id", "source").orderBy(F.desc("score"), F.desc("line"))
+    best = x.where("score > 0").withColumn("n", F.row_number().over(five)).where("n <= 5").groupBy("case_id", "source").agg(F.sum("score").alias("strength"))
+    ruling = x.where("rank <= 3").groupBy("case_id").agg(F.countDistinct("source").alias("ruling"))
+
+    def one_document(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("line").reset_index(drop=True)
+        f["pos"] = range(len(f))
+        f["ruled"] = False
+        costs = (f["text"].str.len() + 8).tolist()
+        n = f["ruling"].iloc[0]
+        if f["rank"].iloc[0] <= 3 and n and n == n and f["scored_case"].iloc[0]:
+            f.loc[_ruling(costs, int(0.35 * budget) // int(n)), "ruled"] = True
+        top = f[f["score"] > 0].sort_values(["score", "pos"], ascending=False).head(lines_)
+        keep = {p + d for p in [*top["pos"], *f.index[f["ruled"]]] for d in range(-REACH, REACH + 1)}
+        if not f["scored_case"].iloc[0]:
+            keep = set(_ruling(costs, budget))
+        out = f[f["pos"].isin(keep)].copy()
+        # Of a line's own neighbours only what is kept as scored counts as scored.
+        out.loc[~out["pos"].isin(set(top["pos"])), "score"] = 0.0
+        return out[["case_id", "source", "rank", "line", "pos", "text", "score", "ruled", "strength"]]
+
+    any_score = best.groupBy("case_id").agg(F.lit(True).alias("scored_case"))
+    y = x.join(ruling, "case_id", "left").join(best, ["case_id", "source"], "left").join(any_score, "case_id", "left").fillna(0.0, ["strength"]).fillna(False, ["scored_case"])
+    y = y.where("(scored_case and (strength > 0 or rank <= 3)) or not scored_case")
+    docs = y.select("case_id", "source", "rank", "line", "text", "score", "ruling", "strength", "scored_case").groupBy("case_id", "source").applyInPandas(
+        one_document, "case_id string, source string, rank int, line int, pos int, text string, score double, ruled boolean, strength double"
+    )
+    # The strongest documents of a case, in two steps, so that no task sees all documents of a large one.
+    heads = docs.groupBy("case_id", "source").agg(F.max("strength").alias("strength"), F.min("rank").alias("rank"), F.max("ruled").alias("ruled")).withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(64)))
+    order = [F.desc("ruled"), F.desc("strength"), "rank", "source"]
+    for part in (["case_id", "salt"], ["case_id"]):
+        heads = heads.withColumn("n", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("n") <= sources)
+    docs = docs.join(heads.select("case_id", "source"), ["case_id", "source"], "left_semi")
+
+    def one_case(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["source", "pos"])
+        out = f.iloc[_choose(f.to_dict("records"), budget)][["case_id", "source", "line", "text"]].copy()
         out["chars"] = out["text"].str.len().astype("int64")
         return out
 
-    return x.select("case_id", "source", "rank", "line", "text", "score").groupBy("case_id").applyInPandas(one, "case_id string, source string, line int, text string, chars bigint")
+    return docs.groupBy("case_id").applyInPandas(one_case, "case_id string, source string, line int, text string, chars bigint")

@@ -81,9 +81,19 @@ def test_terms_and_scores(spark):
     assert rows(retrieve.search(d, "roof", "id")) == [(1, 1, "roof roof", 2)]
 
 
-def test_context_takes_short_lines_past_a_long_one():
-    r = [{"source": "a", "rank": 9, "text": "x" * 5000, "score": 0.0}, {"source": "a", "rank": 9, "text": "short", "score": 0.0}]
-    assert retrieve._choose(r, 500) == [1]
+def test_context_takes_short_lines_past_a_long_one(spark):
+    d = spark.createDataFrame([("c", "a", 9, 1, "x" * 5000, 0.0), ("c", "a", 9, 2, "short", 0.0), (None, "a", 9, 1, "y", 1.0)], "case_id string, source string, rank int, line int, text string, score double")
+    assert [(r["line"], r["text"]) for r in retrieve.context(d, 500).collect()] == [(2, "short")]
+
+
+def test_context_reaches_the_end_of_a_long_document(spark):
+    body = [("c", "long", 9, k, f"filler line number {k} of a long document", 0.0) for k in range(1, 3000)] + [("c", "long", 9, 3000, "the roof at last", 5.0)]
+    first = [("c", "complaint", 1, k, f"count {k}", 0.0) for k in range(1, 400)]
+    d = spark.createDataFrame(body + first, "case_id string, source string, rank int, line int, text string, score double")
+    got = retrieve.context(d, 3000).collect()
+    assert ("long", 3000) in {(r["source"], r["line"]) for r in got} and ("complaint", 1) in {(r["source"], r["line"]) for r in got}
+    assert sum(r["chars"] + 8 for r in got) <= 3000
+    assert {(r["source"], r["line"]) for r in got} == {(r["source"], r["line"]) for r in retrieve.context(d.orderBy(F.rand(1)), 3000).collect()}
 
 
 def test_bm25_against_a_plain_computation(spark):
