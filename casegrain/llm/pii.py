@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..io import spread, staged
+from ..io import staged
 from . import crf_tagger as M
 from .pii_train import GIVEN
 
@@ -171,8 +171,8 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _decoded(rows: DataFrame) -> DataFrame:
-    """h, spans, redacted of distinct texts (columns h, text)."""
+def _decoded(rows: DataFrame, with_text: bool) -> DataFrame:
+    """h, spans and with_text redacted (else null) of distinct texts (columns h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,15 +186,15 @@ def _decoded(rows: DataFrame) -> DataFrame:
                 got = spans_of(texts[k:n])
                 spans = [[{"start": x, "end": y, "pii_type": t, "pii_text": re.sub(r"\s+", " ", s[x:y])} for x, y, t in g] for s, g in zip(texts[k:n], got)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[k:n], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("pii_text", pa.string())]))), pa.array([redact(s, g) for s, g in zip(texts[k:n], got)])],
+                    [pa.array(keys[k:n], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("pii_text", pa.string())]))), pa.array([redact(s, g) if with_text else None for s, g in zip(texts[k:n], got)], pa.string())],
                     names=["h", "spans", "redacted"],
                 )
                 k = n
 
-    return spread(rows).mapInArrow(run, "h bigint, spans array<struct<start:int,end:int,pii_type:string,pii_text:string>>, redacted string")
+    return rows.mapInArrow(run, "h bigint, spans array<struct<start:int,end:int,pii_type:string,pii_text:string>>, redacted string")
 
 
-def tag(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
+def tag(tables: list[tuple[DataFrame, str, str]], with_text: bool = True) -> DataFrame:
     """record_table, record_id, spans, redacted for every record with a text.
 
     tables: (frame with a column text, name, id column).  Each distinct text is
@@ -202,14 +202,16 @@ def tag(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """
     rows = None
     for df, name, key in tables:
-        x = df.select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), "text").where("text is not null and text <> ''").distinct()
+        x = df.select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), "text").where("text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
         rows = x if rows is None else rows.unionByName(x)
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    decoded = staged(_decoded(rows.groupBy("h").agg(F.min("text").alias("text"))))
-    return rows.select("record_table", "record_id", "h").join(decoded, "h").drop("h")
+    # A text is shuffled once, to its copies; records are joined by its hash and never carry it.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(2 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    decoded = staged(_decoded(rows.select("h", "text").repartition(n, "h").dropDuplicates(["h"]), with_text))
+    return rows.select("record_table", "record_id", "h").distinct().join(decoded, "h").drop("h")
 
 
 def found(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """record_table, record_id, pii_type, pii_text: each span as it stands in the text, once for each record."""
-    t = tag(tables)
+    t = tag(tables, with_text=False)
     return t.select("record_table", "record_id", F.explode("spans").alias("s")).select("record_table", "record_id", "s.pii_type", "s.pii_text").distinct()
