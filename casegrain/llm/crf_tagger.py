@@ -99,29 +99,36 @@ def emissions(p: dict, X: np.ndarray) -> np.ndarray:
     """
     B, T = X.shape
     H = p["U"].shape[1]
-    scale = np.ones(4 * H, np.float32)
-    scale[: 3 * H] = 0.5
+    scale = np.full(4 * H, 2.0, np.float32)
+    scale[: 3 * H] = -1.0
     W, U = p["W"] * scale, p["U"] * scale * 0.5
     O = (p["O"] * 0.5).reshape(2, H, K)  # noqa: E741
     h, c = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32)
     G, M = np.empty((2, B, 4 * H), np.float32), np.empty((2, B, 4 * H), np.float32)
     a, E = np.empty((2, B, H), np.float32), np.empty((2, B, K), np.float32)
     i, f, o, g = (G[:, :, k * H : (k + 1) * H] for k in range(4))
-    gates = G[:, :, : 3 * H]
     out = np.zeros((T, B, K), np.float32)
+    np.seterr(over="ignore")  # exp of a large number is inf, and the gate then exactly 1 or 0
     ids = np.ascontiguousarray(X.T)
     for t in range(T):
         np.take(W[0], ids[t], axis=0, out=G[0])
         np.take(W[1], ids[T - 1 - t], axis=0, out=G[1])
         np.matmul(h, U, out=M)
         G += M
-        np.tanh(G, out=G)
-        gates += 1.0
+        # tanh(x / 2) + 1 = 2 / (1 + exp(-x)), and tanh(x) likewise: exp is the faster function.
+        np.exp(G, out=G)
+        G += 1.0
+        np.divide(2.0, G, out=G)
+        np.subtract(1.0, g, out=g)
         np.multiply(c, f, out=c)
         np.multiply(i, g, out=a)
         c += a
         c *= 0.5
-        np.tanh(c, out=a)
+        np.multiply(c, 2.0, out=a)
+        np.exp(a, out=a)
+        a += 1.0
+        np.divide(2.0, a, out=a)
+        np.subtract(1.0, a, out=a)
         np.multiply(o, a, out=h)
         np.matmul(h, O, out=E)
         out[t] += E[0]
@@ -251,25 +258,26 @@ def _viterbi(E: list[np.ndarray], T: np.ndarray) -> list[np.ndarray]:
     """Best tag paths; the texts, sorted by length, are stepped through together."""
     n = np.array([len(e) for e in E])
     B, L = len(E), int(n.max())
-    back = np.zeros((L, B, K), np.uint8)
-    pad = np.zeros((B, L, K), np.float32)
+    S = np.zeros((L, B, K), np.float32)  # emissions, then the best scores of paths that end in a tag
     for r, e in enumerate(E):
-        pad[r, : len(e)] = e
-    Tt = np.ascontiguousarray(T.T)
-    score = pad[:, 0].copy()
+        S[: len(e), r] = e
+    From = np.ascontiguousarray(T[:, None, :])  # tag before, text, tag
+    x = np.empty((K, B, K), np.float32)
     for t in range(1, L):
         alive = int(np.searchsorted(n, t, side="right"))  # texts before it have ended
-        x = score[alive:, None, :] + Tt[None]
-        back[t, alive:] = x.argmax(2)
-        score[alive:] = x.max(2) + pad[alive:, t]
+        y = x[:, : B - alive]
+        np.add(S[t - 1, alive:].T[:, :, None], From, out=y)
+        S[t, alive:] += y.max(axis=0)
     path = np.zeros((L, B), np.uint8)
-    cur = score.argmax(1)
-    rows = np.arange(B)
+    cur = np.zeros(B, np.int64)
+    Tt = np.ascontiguousarray(T.T)
     for t in range(L - 1, -1, -1):
         alive = int(np.searchsorted(n, t, side="right"))
+        old = int(np.searchsorted(n, t + 1, side="right"))  # texts from alive to it end here
+        cur[alive:old] = S[t, alive:old].argmax(1)
+        if old < B:  # where the next character's tag came from
+            cur[old:] = (S[t, old:] + Tt[cur[old:]]).argmax(1)
         path[t, alive:] = cur[alive:]
-        if t:
-            cur[alive:] = back[t, rows[alive:], cur[alive:]]
     return [path[:k, r] for r, k in enumerate(n)]
 
 
