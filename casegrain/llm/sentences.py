@@ -62,7 +62,7 @@ def _open_word(text: str, p: int, end: int) -> str:
         p += 1
     c = text[p : p + 1]
     if "฀" <= c <= "๿":
-        return text[p : min(p + 6, end)]
+        return text[p : min(p + 6, end)].split()[0]
     if c and (0x3040 <= ord(c) <= 0x30FF or 0x3400 <= ord(c) <= 0x9FFF or 0xF900 <= ord(c) <= 0xFAFF):
         return text[p : min(p + 2, end)]
     m = re.compile(r"[^\s,;:!?\"”»)]{1,24}").match(text, p, end)
