@@ -317,6 +317,32 @@ def test_every_character_is_in_a_sentence(scores):
     assert sentences.sentence_ends(None, scores) == sentences.sentence_ends(" \n", scores) == []
 
 
+# -- empty, null and repeated rows -------------------------------------------------
+def test_empty_tables(spark):
+    hits = spark.createDataFrame([], "queried_name string, matched_name string")
+    ext = spark.createDataFrame([], "extraction_id bigint, text string")
+    docs = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    assert names.variant_pairs(hits).count() == 0
+    assert mojibake.restore([(ext, "extraction_results", "extraction_id", ["text"])]).count() == 0
+    assert email_bodies.new_text(ext).count() == 0 and email_bodies.blocks(ext).count() == 0
+    assert pii.tag([(ext, "extraction_results", "extraction_id")]).count() == 0
+    assert scan_noise.found(ext).count() == 0 and scan_noise.repaired(ext).count() == 0
+    assert tokens.encode_corpus(docs).count() == 0 and sentences.split_corpus(docs).count() == 0
+
+
+def test_null_empty_repeated_and_long_texts(spark):
+    long = "The insurer denied the claim. No payment followed. " * 3000
+    d = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, " \n ", 0), (4, long, 0), (5, long, 0)], "extraction_id bigint, text string, seq int")
+    got = {r["extraction_id"]: r for r in mojibake.restore([(d, "extraction_results", "extraction_id", ["text"])]).collect()}
+    assert len(got) == 5 and got[1]["restored"] is None and got[4]["restored"] == long and not any(r["garbled"] for r in got.values())
+    fixed = {r["extraction_id"]: r for r in scan_noise.repaired(d).collect()}
+    assert fixed[1]["text"] is None and fixed[2]["text"] == "" and fixed[4]["text"] == long.strip() and fixed[4]["defects"] == []
+    ends = {}
+    for r in sentences.split_corpus(d.withColumnRenamed("extraction_id", "doc_id")).collect():
+        ends.setdefault(r["doc_id"], []).append(r["sent_end"])
+    assert set(ends) == {4, 5} and len(ends[4]) == 6000 and ends[4] == ends[5]
+
+
 # -- all -------------------------------------------------------------------------
 @pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p4_found", "p5_found", "p6_ids", "p7_mixture", "p8_found"])
 def test_queries_run(spark, name):
