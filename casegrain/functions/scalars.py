@@ -50,8 +50,8 @@ def version(c: Column) -> Column:
 
 
 def source_markers(c: Column) -> Column:
-    """Markers of sources in a text: [PSI:..], [RPM:..] and [name:line]."""
-    return F.regexp_extract_all(c, F.lit(r"(\[(?:PSI:|RPM:)[^\]]+\]|\[[A-Za-z0-9_. -]+:[0-9]+\])"), F.lit(1))
+    """Markers of sources in a text: [ABC:..] with a scheme of three capitals, and [name:line]."""
+    return F.regexp_extract_all(c, F.lit(r"(\[[A-Z]{3}:[^\]]+\]|\[[A-Za-z0-9_. -]+:[0-9]+\])"), F.lit(1))
 
 
 def ordered_union(*arrays: Column) -> Column:

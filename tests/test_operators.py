@@ -295,6 +295,15 @@ def test_stream_of_arrivals(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "t/current"))) == [("A", 4)]
 
 
+def test_scalars(spark):
+    from casegrain.functions import scalars as s
+
+    d = spark.createDataFrame([("1.10", "$1,200.50", "2024-02-30", "see [ABC:12] and [est.txt:4] [x]", '{"a": 1}'), ("1.9", "n/a", "2024-02-29", None, "bad")], "v string, m string, d string, t string, j string")
+    r = d.select(s.version(F.col("v")).alias("v"), s.safe_number(F.col("m")).alias("m"), s.iso_date(F.col("d")).cast("string").alias("d"), s.source_markers(F.col("t")).alias("t"), s.json_answer(F.col("j"), "a int").alias("j"), s.shortened(F.col("m"), 5).alias("s"), s.ordered_union(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c"))).alias("u")).collect()
+    assert r[0]["v"] > r[1]["v"] and (r[0]["m"], r[1]["m"]) == (1200.5, None) and (r[0]["d"], r[1]["d"]) == (None, "2024-02-29")
+    assert r[0]["t"] == ["[ABC:12]", "[est.txt:4]"] and r[0]["j"]["a"] == 1 and r[1]["j"]["a"] is None and r[0]["s"] == "$1..." and r[0]["u"] == ["b", "a", "c"]
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "id bigint, text string, name string, case_id string")
     assert points.extract_hits(d, "id").count() == 0 and matters.assign(matters.read_signals(d, "id")).count() == 0
