@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, canonical: every spelling with the most frequent one of its party that says most."""
+    """name, party: every spelling with the opaque id of its party."""
     from . import names
 
     return names.parties(table(spark, sf_dir, "conflict_hits"))
