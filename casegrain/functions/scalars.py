@@ -62,3 +62,13 @@ def ordered_union(*arrays: Column) -> Column:
 def json_answer(c: Column, schema: str) -> Column:
     """A JSON answer as a struct; text that is none gives null, which counts as a disagreement."""
     return F.from_json(c, schema)
+
+
+def escaped(c: Column) -> Column:
+    """A text for use in markup: &, < and > as entities."""
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def unescaped(c: Column) -> Column:
+    """The inverse of escaped; &amp; comes last, so that an entity that the text itself holds stays one."""
+    return F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))

@@ -657,6 +657,16 @@ def html_text(spark, d):
     return x.select("extraction_id", F.regexp_replace(F.regexp_replace(marked, "<br>", "\n"), "<[^>]+>", "").alias("text"))
 
 
+@_query("SELECT extraction_id, text FROM extraction_results WHERE text IS NOT NULL")
+def html_text_all(spark, d):
+    """Markup made of every text, its own <, > and & as entities, and taken off again: the text as it was."""
+    from ..functions import scalars as s
+
+    x = table(spark, d, "extraction_results").where("text is not null")
+    marked = F.concat(F.lit("<p>"), F.replace(s.escaped(F.col("text")), F.lit("\n"), F.lit("<br>")), F.lit("</p>"))
+    return x.select("extraction_id", s.unescaped(F.regexp_replace(F.regexp_replace(marked, "<br>", "\n"), "<[^>]+>", "")).alias("text"))
+
+
 # -- scalars, scopes and selections ---------------------------------------------
 @_query(
     """SELECT result_id, coalesce(nullif(citation, ''), nullif(source_id, ''), 'none') AS label, coalesce(TRY_CAST(trim(year, ' ') AS INTEGER) > 0 AND 2026 - TRY_CAST(trim(year, ' ') AS INTEGER) > 15, false) AS stale,

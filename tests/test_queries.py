@@ -51,3 +51,9 @@ def test_brief_lists_documents_by_rank(spark):
     for r in catalog.queries()["case_brief"](spark, DIR).collect():
         ranks = [d["rank"] for d in r["documents"]]
         assert ranks == sorted(ranks) and len(ranks) <= 40
+
+
+def test_markup_round_trip_holds_every_text(spark):
+    want = {r["extraction_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/extraction_results.parquet").where("text is not null").collect()}
+    got = {r["extraction_id"]: r["text"] for r in catalog.queries()["html_text_all"](spark, DIR).collect()}
+    assert got == want and any("<<<PAGE" in t for t in got.values()) and any("&" in t for t in got.values())
