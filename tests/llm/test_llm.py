@@ -234,6 +234,25 @@ def test_clean_texts_have_no_defect(editor):
     assert scan_noise.repair(MAIL, editor) == (MAIL, [])
 
 
+def test_a_misread_word_is_found_however_often_it_stands(editor):
+    ed = scan_noise.Editor(editor.n.copy(), editor.calm)
+    ed.chars, ed.joins, ed.lines = editor.chars, editor.joins, editor.lines
+    text = "The letter frorn the insurer denied the claim."
+    for times in (1, 20, 450):  # a corpus that grows in all its words
+        ed.n = editor.n * times
+        ed.n[scan_noise._slot("frorn")] = 2 * times
+        ed.calm = editor.calm * times
+        ed._known = {}
+        assert scan_noise.analyse(text, ed)[0] == {"misread"}
+
+
+def test_copies_of_a_text_count_once(spark):
+    texts = [f"The letter frorn the insurer of house {k} denied the claim." for k in range(4)] + ["A letter from the insurer paid the claim."]
+    once = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "extraction_id bigint, text string")
+    many = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:1] * 600)], "extraction_id bigint, text string")
+    assert (scan_noise.trained(once).n == scan_noise.trained(many).n).all()
+
+
 # -- p6, p7 ----------------------------------------------------------------------
 def test_tree_equals_plain_encoding():
     enc = tokens.encoder()
