@@ -79,6 +79,21 @@ def test_twice_garbled_partly_garbled_and_lost(model):
     assert mojibake.judge("le d�g�t", model, 4.0, -7.0)[1]
 
 
+def test_a_garbled_passage_among_clean_accents(model):
+    clean = "Der Kläger verlangt für die Prüfung der Schäden eine Entschädigung. " * 6
+    part = "Le délai a été prorogé; l'expert a relevé du plâtre mouillé."
+    for wrong, right in (("mac_roman", "cp1252"), ("cp1252", "mac_roman")):
+        text = clean + part.encode(right).decode(wrong) + " " + clean
+        new, hit, steps = mojibake.judge(text, model, 4.0, -7.0)
+        assert new == clean + part + " " + clean and hit and steps == [f"{wrong}>{right}"]
+
+
+def test_copies_teach_the_model_once(spark):
+    d = spark.createDataFrame([("Der Kläger prüft.",), ("L'expert a relevé le dégât.",)] + [("Le délai a été prorogé.",)] * 50, "text string")
+    (a, *_), (b, *_) = mojibake.train(d), mojibake.train(d.distinct())
+    assert (a.t == b.t).all() and (a.u == b.u).all()
+
+
 def test_clean_text_stays(model):
     for t in [None, "", "plain", "Fundação Âge SÃO ÂNGULO", "Ærø Île", "Страховщик отказал в выплате", "評価 x" * 3]:
         assert mojibake.judge(t, model, 4.0, -7.0) == (t, False, [])
