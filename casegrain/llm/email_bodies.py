@@ -7,8 +7,8 @@
 2. Each unit of the sender's own text has a SimHash fingerprint.  Earlier near-matches
    are found through Hamming partition tables: of five parts of the fingerprint two are
    equal if at most three bits differ, so ten tables, each keyed by two parts, find
-   them.  Each table keeps the earliest unit of each key, so that a key that a third
-   of all mails share costs one row and no pairs are emitted.
+   them.  Exact copies are grouped first, so that a text that a third of all mails share
+   is one row of a table; all distinct texts of a key are verified.
 3. A retrieved unit counts if its edit distance is small.  A unit that was in an
    earlier mail by somebody else in the same exchange is inherited; one that is a
    notice elsewhere is a notice; a line that the same sender ends several mails with
@@ -297,26 +297,42 @@ def _keys(fp):
 
 
 def _near(units_: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
-    """Units with the earliest known unit of each table key that is really near: columns of units_ and k_norm, k_sender, k_seen."""
-    tables = known.withColumn("key", F.explode(_keys(F.col("fp")))).groupBy(*by, "key").agg(F.min(F.struct("seen", "norm", "sender")).alias("k"))
-    q = units_.withColumn("key", F.explode(_keys(F.col("fp"))))
-    j = q.join(tables, [*by, "key"]).withColumn("k_norm", F.col("k.norm")).withColumn("k_sender", F.col("k.sender")).withColumn("k_seen", F.col("k.seen"))
+    """by, norm, k_norm: each distinct text of units_ with every known one that shares a table key and is really near.
+
+    Exact copies are one row on either side, so a text that many mails hold costs no more
+    than any other; hot keys are left to the join's handling of skew.
+    """
+    cols = [*by, "norm", "fp"]
+    keyed = lambda x: x.select(cols).distinct().withColumn("key", F.explode(_keys(F.col("fp")))).drop("fp")
+    j = keyed(units_).join(keyed(known).withColumnRenamed("norm", "k_norm"), [*by, "key"])
     # The edit distance is computed in the engine, cut off where it is too large anyway.
     most = F.greatest(F.lit(2), (F.length("norm") * 0.15).cast("int"))
-    return j.where(F.levenshtein(F.col("norm"), F.col("k_norm")) <= most)
+    pairs = j.where(F.abs(F.length("norm") - F.length("k_norm")) <= most).select(*by, "norm", "k_norm").distinct()
+    return pairs.where((F.col("norm") == F.col("k_norm")) | (F.levenshtein(F.col("norm"), F.col("k_norm")) <= most))
+
+
+def _first_two(known: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, seen, k_sender: the earliest place of each text, and the earliest by another sender than that one.
+
+    Whoever asks for somebody else's earlier place finds it in these two if there is one.
+    """
+    first = known.groupBy(by).agg(F.min(F.struct(F.col(order).alias("seen"), F.col("sender").alias("k_sender"))).alias("k"))
+    other = known.join(first, by).where("sender <> k.k_sender").groupBy(by).agg(F.min(F.struct(F.col(order).alias("seen"), F.col("sender").alias("k_sender"))).alias("k"))
+    return first.unionByName(other).select(*by, "k.seen", "k.k_sender")
 
 
 def judged(extractions: DataFrame) -> DataFrame:
     """The units with their final kind ('quoted', 'signature', 'disclaimer', 'own')."""
     u = staged(email_units(extractions))
     # A notice seen in a mail teaches its wording; other mails' near-matches at a paragraph of their own are notices.
-    notices = u.where("kind = 'disclaimer' and fp is not null").groupBy("norm", "fp").agg(F.min("extraction_id").alias("seen"), F.min("sender").alias("sender"))
+    notices = u.where("kind = 'disclaimer' and fp is not null")
     own = u.where("kind = 'own' and fp is not null")
-    as_notice = _near(own, notices, []).select("extraction_id", "seq").distinct().withColumn("notice", F.lit(True))
+    as_notice = own.join(_near(own, notices, []).select("norm").distinct(), "norm").select("extraction_id", "seq").distinct().withColumn("notice", F.lit(True))
     # Sentences of the same exchange that somebody else wrote in an earlier mail.
     named = own.where("subject <> '' and sender <> ''")
-    known = named.groupBy("subject", "norm", "fp").agg(F.min(F.struct("extraction_id", "sender")).alias("m")).select("subject", "norm", "fp", F.col("m.extraction_id").alias("seen"), F.col("m.sender").alias("sender"))
-    inherited = _near(named, known, ["subject"]).where("k_sender <> sender and k_seen < extraction_id").select("extraction_id", "seq").distinct().withColumn("inherited", F.lit(True))
+    places = _first_two(named, ["subject", "norm"], "extraction_id").withColumnRenamed("norm", "k_norm")
+    earlier = _near(named, named, ["subject"]).join(places, ["subject", "k_norm"])
+    inherited = named.join(earlier, ["subject", "norm"]).where("k_sender <> sender and seen < extraction_id").select("extraction_id", "seq").distinct().withColumn("inherited", F.lit(True))
     # Two inherited sentences make a quotation; one may be chance.
     inherited = inherited.withColumn("times", F.count("*").over(Window.partitionBy("extraction_id"))).where("times >= 2").drop("times")
     # Lines that a sender ends several mails of different text with.

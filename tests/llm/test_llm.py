@@ -164,6 +164,21 @@ def test_an_inherited_sentence_without_marks(spark):
     assert {tuple(r) for r in email_bodies.blocks(d).collect()} == {(2, "quoted")}
 
 
+def test_a_near_match_behind_other_texts_of_its_bucket_is_found(spark):
+    known = [(f"unit {k} of the template", 7) for k in range(20)] + [("the adjuster measured buckled flooring in the hall", 7)] * 5
+    d = spark.createDataFrame(known, "norm string, fp bigint")
+    q = spark.createDataFrame([("the adjuster measured buckled flooring in the halls", 7)], "norm string, fp bigint")
+    assert [tuple(r) for r in email_bodies._near(q, d, []).collect()] == [(q.first()["norm"], known[-1][0])]
+
+
+def test_an_earlier_copy_behind_the_senders_own(spark):
+    body = "The adjuster measured 59.4 inches of buckled flooring in the hall. The appraisal award of $1,234.56 was paid in nine instalments."
+    mail = lambda who, text: f"From: {who}@x.example\nSubject: Roof 12\n\n{text}\n"
+    rows = [(1, mail("b", body)), (2, mail("a", body)), (3, mail("b", f"I agree with this.\n\n{body}"))]
+    d = spark.createDataFrame(rows, "extraction_id bigint, text string")
+    assert {tuple(r) for r in email_bodies.blocks(d).collect()} == {(2, "quoted"), (3, "quoted")}
+
+
 # -- p4 ------------------------------------------------------------------------
 def test_tagger_gradients():
     p = crf_tagger.init(4)
