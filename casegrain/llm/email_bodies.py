@@ -11,15 +11,17 @@
    is one row of a table; all distinct texts of a key are verified.
 3. A retrieved unit counts if its edit distance is small.  A unit that was in an
    earlier mail by somebody else in the same exchange is inherited; one that is a
-   notice elsewhere is a notice; a line that the same sender ends several mails with
-   is boilerplate of the sender.
+   notice elsewhere is a notice; contact data that the same sender ends several mails
+   with, in this or a near form, is boilerplate of the sender.
 """
 
 from __future__ import annotations
 
+import calendar
 import itertools
 import re
 from collections.abc import Iterator
+from email.utils import parsedate_to_datetime
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,11 @@ _CLOSING = re.compile(r"(?i)^(?:(?:best|kind|warm)?\s*regards|best(?: wishes)?|s
 _NAME_LINE = re.compile(r"^[*_]?(?:[A-ZÀ-Þ][\w.'’À-ÿ-]*,?\s*){1,5}[*_]?$")
 
 
+# Contact data by itself; Java and Python read it alike.
+CONTACT = r"(?i)^(?:www\.|(?:tel|phone|direct|mobile)[.: ]|[+(]?\d[\d ()/.-]{7,}$|[\w.+-]+@[\w.-]+$)"
+_CONTACT = re.compile(CONTACT)
+
+
 def simhash(text: str) -> int:
     """64-bit SimHash of the text's character four-grams, as a signed number."""
     s = f"  {text}  "
@@ -265,7 +272,16 @@ def _head(text: str) -> tuple[str, str, str]:
     return _address(got["from"]), normal(subject), got["date"]
 
 
-UNIT = "extraction_id bigint, seq int, kind string, text string, ends int, norm string, fp bigint, sender string, subject string"
+def _time(date: str) -> int | None:
+    """Seconds since 1970 of a header's date, None if it is none; without a zone it counts as UTC."""
+    try:
+        d = parsedate_to_datetime(date)
+    except (TypeError, ValueError, IndexError):
+        return None
+    return calendar.timegm(d.utctimetuple())
+
+
+UNIT = "extraction_id bigint, seq int, kind string, text string, ends int, norm string, fp bigint, sender string, subject string, sent bigint"
 
 
 def email_units(extractions: DataFrame) -> DataFrame:
@@ -277,13 +293,15 @@ def email_units(extractions: DataFrame) -> DataFrame:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not is_email(text):
                     continue
-                sender, subject, _ = _head(text)
+                sender, subject, date = _head(text)
+                sent = _time(date)
                 for seq, (kind, s, ends) in enumerate(units(text)):
                     norm = normal(s)
-                    fp = simhash(norm) if kind in ("own", "disclaimer") and len(norm) >= LEAST_CHARS else None
-                    rows.append((key, seq, kind, s, ends, norm, fp, sender, subject))
-            cols = list(zip(*rows)) or [[]] * 9
-            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string()]
+                    long = len(norm) >= LEAST_CHARS or kind == "own" and len(norm) >= 5 and _CONTACT.match(s)
+                    fp = simhash(norm) if kind in ("own", "disclaimer") and long else None
+                    rows.append((key, seq, kind, s, ends, norm, fp, sender, subject, sent))
+            cols = list(zip(*rows)) or [[]] * 10
+            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in UNIT.split(", ")])
 
     mails = extractions.select(F.col("extraction_id").cast("bigint").alias("extraction_id"), "text").where(F.col("text").rlike(r"^\s*(?:<<<PAGE \d+>>>\s*)?(?:From|To|Sent|Date|Von|An|De|À|Para|Gesendet|Subject)\s*:"))
@@ -325,21 +343,34 @@ def judged(extractions: DataFrame) -> DataFrame:
     """The units with their final kind ('quoted', 'signature', 'disclaimer', 'own')."""
     u = staged(email_units(extractions))
     # A notice seen in a mail teaches its wording; other mails' near-matches at a paragraph of their own are notices.
-    notices = u.where("kind = 'disclaimer' and fp is not null")
-    own = u.where("kind = 'own' and fp is not null")
+    full = u.where(f"fp is not null and length(norm) >= {LEAST_CHARS}")
+    notices = full.where("kind = 'disclaimer'")
+    own = full.where("kind = 'own'")
     as_notice = own.join(_near(own, notices, []).select("norm").distinct(), "norm").select("extraction_id", "seq").distinct().withColumn("notice", F.lit(True))
     # Sentences of the same exchange that somebody else wrote in an earlier mail.
     named = own.where("subject <> '' and sender <> ''")
-    places = _first_two(named, ["subject", "norm"], "extraction_id").withColumnRenamed("norm", "k_norm")
-    earlier = _near(named, named, ["subject"]).join(places, ["subject", "k_norm"])
-    inherited = named.join(earlier, ["subject", "norm"]).where("k_sender <> sender and seen < extraction_id").select("extraction_id", "seq").distinct().withColumn("inherited", F.lit(True))
-    # Two inherited sentences make a quotation; one may be chance.
-    inherited = inherited.withColumn("times", F.count("*").over(Window.partitionBy("extraction_id"))).where("times >= 2").drop("times")
-    # Lines that a sender ends several mails of different text with.
-    tail = u.where("kind = 'own' and sender <> '' and length(norm) between 5 and 80").groupBy("sender", "norm").agg(F.countDistinct("extraction_id", "subject").alias("mails"))
-    boiler = tail.where("mails >= 2").select("sender", "norm", F.lit(True).alias("boiler"))
+    # By date, extraction_id for ties; where either mail has no date, by extraction_id.
+    place = lambda c, sent: c.withColumn("place", F.struct(sent.alias("sent"), "extraction_id"))
+    none = F.lit(0).cast("bigint")
+    known = place(named.where("sent is not null"), F.col("sent")).withColumn("way", F.lit("dated")).unionByName(place(named.where("sent is null"), none).withColumn("way", F.lit("undated"))).unionByName(place(named, none).withColumn("way", F.lit("any")))
+    places = _first_two(known, ["subject", "norm", "way"], "place").withColumnRenamed("norm", "k_norm")
+    ways = F.when(F.col("sent").isNull(), F.array(F.lit("any"))).otherwise(F.array(F.lit("dated"), F.lit("undated")))
+    asked = named.withColumn("way", F.explode(ways))
+    asked = place(asked, F.when(F.col("way") == "dated", F.col("sent")).otherwise(none))
+    pairs = _near(named, named, ["subject"])
+    earlier = pairs.join(places, ["subject", "k_norm"])
+    inherited = asked.join(earlier, ["subject", "norm", "way"]).where("k_sender <> sender and seen < place").select("extraction_id", "seq", "norm").distinct()
+    # Two inherited sentences make a quotation; a single one does if no other exchange has it, else it may be chance.
+    exchanges = named.groupBy("norm").agg(F.countDistinct("subject").alias("exchanges"))
+    inherited = inherited.withColumn("times", F.count("*").over(Window.partitionBy("extraction_id"))).join(exchanges, "norm").where("times >= 2 or exchanges = 1")
+    inherited = inherited.select("extraction_id", "seq").withColumn("inherited", F.lit(True))
+    # Lines of contact data that a sender ends several mails of different text with, near-matches included.
+    tail = u.where("kind = 'own' and fp is not null and sender <> '' and length(norm) between 5 and 80").where(F.col("text").rlike(CONTACT))
+    mails = tail.select("sender", F.col("norm").alias("k_norm"), "extraction_id", "subject").distinct()
+    boiler = _near(tail, tail, ["sender"]).join(mails, ["sender", "k_norm"]).groupBy("sender", "norm").agg(F.countDistinct("extraction_id", "subject").alias("mails"))
+    boiler = boiler.where("mails >= 2").select("sender", "norm", F.lit(True).alias("boiler"))
     x = u.join(as_notice, ["extraction_id", "seq"], "left").join(inherited, ["extraction_id", "seq"], "left").join(boiler, ["sender", "norm"], "left")
-    contact = F.col("text").rlike(r"(?i)^(?:www\.|(?:tel|phone|direct|mobile)[.: ]|[+(]?\d[\d ()/.-]{7,}$|[\w.+-]+@[\w.-]+$)")
+    contact = F.col("text").rlike(CONTACT)
     kind = F.when(F.col("kind") != "own", F.col("kind")).when(F.col("notice"), "disclaimer").when(F.col("inherited"), "quoted").when(F.col("boiler") & contact, "signature").otherwise("own")
     return x.withColumn("kind", kind).select("extraction_id", "seq", "kind", "text", "ends")
 

@@ -179,6 +179,24 @@ def test_an_earlier_copy_behind_the_senders_own(spark):
     assert {tuple(r) for r in email_bodies.blocks(d).collect()} == {(2, "quoted"), (3, "quoted")}
 
 
+def test_one_inherited_sentence_and_an_original_filed_late(spark):
+    body = "The adjuster measured 59.4 inches of buckled flooring in the hall."
+    mail = lambda who, day, text, subject="Roof 12": f"From: {who}@x.example\nSubject: {subject}\nDate: Fri, {day} Mar 2021 14:41:19 -0600\n\n{text}\n"
+    reply = mail("b", 5, f"I agree with this.\n\n{body}")
+    d = spark.createDataFrame([(1, reply), (2, mail("a", 4, body))], "extraction_id bigint, text string")
+    assert {tuple(r) for r in email_bodies.blocks(d).collect()} == {(1, "quoted")}
+    # A sentence that other exchanges have too may be chance if it stands alone.
+    e = d.unionByName(spark.createDataFrame([(3, mail("c", 4, body, "Another matter"))], d.schema))
+    assert email_bodies.blocks(e).count() == 0
+
+
+def test_near_contact_lines_of_a_sender(spark):
+    mail = lambda k, line: f"From: a@x.example\nSubject: Matter {k}\n\nThis is text number {k} of the sender, and it goes on.\n\n{line}\n"
+    lines = [f"Mobile: for matters of the insurer please call {x} at 202 555 1000 in the day" for x in ("me", "us")]
+    d = spark.createDataFrame([(k, mail(k, x)) for k, x in enumerate(lines)], "extraction_id bigint, text string")
+    assert {tuple(r) for r in email_bodies.blocks(d).collect()} == {(0, "signature"), (1, "signature")}
+
+
 # -- p4 ------------------------------------------------------------------------
 def test_tagger_gradients():
     p = crf_tagger.init(4)
