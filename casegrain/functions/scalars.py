@@ -27,9 +27,11 @@ def iso_date(c: Column) -> Column:
     return F.when(F.rlike(c, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.try_to_date(c, "yyyy-MM-dd"))
 
 
-def first_sentence(c: Column) -> Column:
-    """The text up to its first full stop, question or exclamation mark before a blank or the end."""
-    return F.regexp_extract(F.trim(c), r"^(.*?[.!?])(?:\s|$)", 1)
+def first_sentence(c: Column, most: int = 180) -> Column:
+    """The text, its blanks made single, up to its first full stop, question or exclamation mark before a blank or the end; all of it if there is none."""
+    flat = F.trim(F.regexp_replace(c, r"\s+", " "))
+    mark = F.regexp_extract(flat, r"(?d)^(.*?[.!?])(?:\s|$)", 1)
+    return F.rtrim(F.left(F.when(mark != "", mark).otherwise(flat), F.lit(most)))
 
 
 def shortened(c: Column, most: int) -> Column:
@@ -72,3 +74,8 @@ def escaped(c: Column) -> Column:
 def unescaped(c: Column) -> Column:
     """The inverse of escaped; &amp; comes last, so that an entity that the text itself holds stays one."""
     return F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+
+
+def stable_id(*parts: Column) -> Column:
+    """An id of 16 hexadecimal digits that follows from its parts; null counts as empty."""
+    return F.left(F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256), F.lit(16))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Only where a session has none (tests, one machine) a temporary folder is set.
+    Only on one machine (master local) a temporary folder is set where a session has
+    none; on a cluster that is an error, as executors would not share it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -25,7 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="casegrain-"))
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="casegrain-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

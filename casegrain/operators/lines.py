@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.patterns import NOISE_PREFIXES
 
 
-def explode_lines(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, keep, line, text: the lines that are not blank, numbered from 1; bookkeeping lines are left out.
+def records(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep, line, text, noise: the lines that are not blank, numbered from 1; noise marks bookkeeping lines of the reader.
 
     Null and empty texts have no line.  Lines end with \\n only.
     """
@@ -17,7 +17,12 @@ def explode_lines(docs: DataFrame, key: str, text: str = "text", keep: tuple[str
     noise = F.lit(False)
     for p in NOISE_PREFIXES:
         noise = noise | F.startswith(F.ltrim("text"), F.lit(p))
-    return x.where((F.trim("text") != "") & ~noise).select(key, *keep, (F.col("pos") + 1).alias("line"), "text")
+    return x.where(F.trim("text") != "").select(key, *keep, (F.col("pos") + 1).alias("line"), "text", noise.alias("noise"))
+
+
+def explode_lines(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep, line, text: the records without bookkeeping lines."""
+    return records(docs, key, text, keep).where("not noise").drop("noise")
 
 
 def consecutive(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

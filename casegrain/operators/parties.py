@@ -20,13 +20,12 @@ def caption_parties(c: Column) -> Column:
     return F.when(F.size(parts) == 2, F.transform(parts, lambda x: F.regexp_replace(x, r"^[ ,_-]+|[ ,_-]+$", ""))).otherwise(F.array().cast("array<string>"))
 
 
-def matches(queries: DataFrame, parties: DataFrame) -> DataFrame:
-    """query_key, party_key, case_id, confidence: 'exact' on the key, 'possible' where 80 % of the smaller name's words are shared.
+def key_matches(queries: DataFrame, parties: DataFrame) -> DataFrame:
+    """query_key, party_key, confidence: 'exact' on the key, 'possible' where 80 % of the smaller name's words are shared.
 
-    queries: name; parties: case_id, name.  Distinct names are joined on their words,
-    and the rarest words of a name come first: to share 80 % of the smaller side, two
-    names must share one of its rarer words, so a word that stands in a third of all
-    names joins nothing.  A query's own case is not excluded here.
+    queries, parties: name.  Distinct names are joined on their words, and the rarest
+    words of a name come first: to share 80 % of the smaller side, two names must share
+    one of its rarer words, so a word that stands in a third of all names joins nothing.
     """
     q = queries.select(party_key(F.col("name")).alias("k")).where("k <> ''").distinct()
     p = parties.select(party_key(F.col("name")).alias("k")).where("k <> ''").distinct()
@@ -49,3 +48,16 @@ def matches(queries: DataFrame, parties: DataFrame) -> DataFrame:
     cand = short_q.select(*cols).unionByName(short_p.select(*cols)).where("query_key <> party_key").dropDuplicates(["query_key", "party_key"])
     ok = cand.where(F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y")) >= 0.8)
     return exact.select("query_key", "party_key", "confidence").unionByName(ok.select("query_key", "party_key", F.lit("possible").alias("confidence")))
+
+
+def matches(queries: DataFrame, parties: DataFrame) -> DataFrame:
+    """asked_by, query_key, party_key, case_id, confidence: a query's names against the parties of all cases but its own.
+
+    queries: case_id, name; parties: case_id, name.  Names that say nothing have no
+    row; a query without a case excludes none.
+    """
+    q = queries.select(F.col("case_id").alias("asked_by"), party_key(F.col("name")).alias("query_key")).where("query_key <> ''").distinct()
+    p = parties.select("case_id", party_key(F.col("name")).alias("party_key")).where("party_key <> ''").distinct()
+    names = lambda x, c: x.select(F.col(c).alias("name")).distinct()
+    m = key_matches(names(q, "query_key"), names(p, "party_key"))
+    return q.join(m, "query_key").join(p, "party_key").where("asked_by is null or case_id is null or asked_by <> case_id").select("asked_by", "query_key", "party_key", "case_id", "confidence")

@@ -21,21 +21,35 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return x.select(key, F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, docs: DataFrame, key: str, query: str, limit: int | None = 50) -> DataFrame:
+def _same(word: str):
+    return lambda v: F.when(v == word, 1)
+
+
+def bm25(docs: DataFrame, key: str, text: str, query: str, limit: int | None = 50) -> DataFrame:
     """key, score of the documents that hold all words of the query, best first.
 
-    Lengths and counts are of all documents; a word that most documents hold counts 1e-6.
+    One pass over the texts counts the query's words in each; no index is built for a
+    question.  Lengths and counts are of all documents; a word that most documents hold
+    counts 1e-6.  A query without words finds nothing.
     """
     words = list(dict.fromkeys(w for w in _fold(query).split() if w))
-    stats = index.groupBy(key).agg(F.first("length").alias("length")).agg(F.sum("length").alias("total"), F.count("*").alias("with_words"))
-    n = docs.agg(F.count("*").alias("n"))
-    hit = index.where(F.col("term").isin(words))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", F.when((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) > 1, F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).otherwise(1e-6).alias("idf"))
-    x = hit.join(F.broadcast(idf), "term").crossJoin(F.broadcast(stats.crossJoin(n)))
+    if not words:
+        return docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
+    t = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    x = t.select(key, F.size("t").alias("length"), *[F.size(F.array_compact(F.transform("t", _same(w)))).alias(f"tf{k}") for k, w in enumerate(words)])
+    stats = x.agg(F.count("*").alias("n"), F.sum("length").alias("total"), *[F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(words))]).withColumn("_all", F.lit(0))
+    every = F.lit(True)
+    for k in range(len(words)):
+        every = every & (F.col(f"tf{k}") > 0)
+    j = x.where(every).withColumn("_all", F.lit(0)).join(stats, "_all")
     avg = F.col("total") / F.col("n")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / avg))
-    g = x.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched")).where(F.col("matched") == len(words)).drop("matched")
+
+    def part(k: int):
+        rare = (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)
+        idf, tf = F.when(rare > 1, F.log(rare)).otherwise(1e-6), F.col(f"tf{k}")
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / avg))
+
+    g = j.select(key, F.round(sum((part(k) for k in range(len(words))), F.lit(0.0)), 6).alias("score"))
     return g if limit is None else g.orderBy(F.desc("score"), key).limit(max(1, min(limit, 50)))
 
 

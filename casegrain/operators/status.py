@@ -13,11 +13,11 @@ CLAIM = "|".join(f"{MARKS[k][0]}.*?{MARKS[k][1]}" for k in (3, 2, 1, 0))
 
 
 def rank_of(col: Column) -> Column:
-    """Rank of a status name in any case; unknown names and null are unverified, the lowest."""
-    u = F.upper(F.trim(col))
+    """Rank of a status by its name in any case or its mark; unknown names and null are unverified, the lowest."""
+    u = F.regexp_replace(F.upper(F.trim(col)), " ", "")
     out = F.lit(0)
-    for k, s in enumerate(STATUS):
-        out = F.when(u == s, k).otherwise(out)
+    for k, (s, mark) in enumerate(zip(STATUS, ("[{}]", "[[]]", "{[]}", "[[[]]]"))):
+        out = F.when(u.isin(s, mark), k).otherwise(out)
     return out
 
 
@@ -31,7 +31,7 @@ def floor(df: DataFrame, by: list[str], status: str) -> DataFrame:
 
 
 def stir(df: DataFrame, by: list[str], value: str, weight: str, status: str, source: str) -> DataFrame:
-    """Weighted mean of values and of statuses: value, mass, status (ties resolve downward), sources, first kept in order of name.
+    """Weighted mean of values and of statuses: value, p0 to p3, mass, status (ties resolve downward), sources.
 
     Rows of null or negative weight are left out; a group without weight has no row.
     """
@@ -42,7 +42,7 @@ def stir(df: DataFrame, by: list[str], value: str, weight: str, status: str, sou
     ).where("w > 0")
     top = F.greatest("p0", "p1", "p2", "p3")
     best = F.when(F.col("p0") == top, 0).when(F.col("p1") == top, 1).when(F.col("p2") == top, 2).otherwise(3)
-    return g.select(*by, F.round(F.col("s") / F.col("w"), 6).alias("value"), "mass", name_of(best).alias("status"), "sources")
+    return g.select(*by, F.round(F.col("s") / F.col("w"), 6).alias("value"), *[F.round(F.col(f"p{k}") / F.col("w"), 6).alias(f"p{k}") for k in range(4)], "mass", name_of(best).alias("status"), "sources")
 
 
 def claims(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -64,10 +64,28 @@ def tensions(cl: DataFrame) -> DataFrame:
 
 
 def demote(cl: DataFrame, allowed: DataFrame) -> DataFrame:
-    """The claims; a validated one that is not among the allowed keys becomes explained."""
+    """The claims; a validated one that is not among the allowed keys becomes speculative."""
     ok = allowed.select("claim_key").distinct().withColumn("ok", F.lit(True))
     j = cl.join(ok, "claim_key", "left")
-    return j.withColumn("status", F.when((F.col("status") == "VALIDATED") & F.col("ok").isNull(), "EXPLAINED").otherwise(F.col("status"))).drop("ok")
+    return j.withColumn("status", F.when((F.col("status") == "VALIDATED") & F.col("ok").isNull(), "SPECULATIVE").otherwise(F.col("status"))).drop("ok")
+
+
+def enforced(texts: DataFrame, key: str, text: str, allowed: DataFrame) -> DataFrame:
+    """key, text: each line trimmed; validated marks that are not allowed become speculative, and bare lines are marked so.
+
+    Lines that end with a colon, headings, list items with a mark and lines that begin
+    with one stay.  Null texts have no row.
+    """
+    lines_ = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("n", "line")).withColumn("line", F.trim("line"))
+    marks = lines_.select(key, "n", F.explode(F.regexp_extract_all("line", F.lit(r"\[\[\[(.*?)\]\]\]"), F.lit(1))).alias("inner")).distinct()
+    bad = marks.withColumn("claim_key", claim_key(F.col("inner"))).join(allowed.select("claim_key").distinct(), "claim_key", "left_anti").groupBy(key, "n").agg(F.array_sort(F.collect_list("inner")).alias("bad"))
+    x = lines_.join(bad, [key, "n"], "left")
+    line = F.aggregate(F.coalesce("bad", F.array().cast("array<string>")), F.col("line"), lambda a, i: F.replace(a, F.concat(F.lit("[[["), i, F.lit("]]]")), F.concat(F.lit("[["), i, F.lit("]]"))))
+    x = x.withColumn("line", line)
+    stays = (F.col("line") == "") | F.endswith("line", F.lit(":")) | F.rlike("line", F.lit(r"^(#|- \[\{|- \[\[|- \{\[|\[\{|\[\[|\{\[)"))
+    x = x.withColumn("line", F.when(stays, F.col("line")).otherwise(F.concat(F.lit("[["), "line", F.lit("]]"))))
+    whole = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]))
+    return x.groupBy(key).agg(F.trim(whole).alias(text))
 
 
 def count_by_status(cl: DataFrame) -> DataFrame:
