@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..io import staged, table
+from ..io import spread, staged, table
 from ..operators import carry, graph, ledger, lines, matters, parties, points, posture, quality, retrieve, roles, search, status
 from . import expected as X
 
@@ -63,7 +63,8 @@ lines AS (SELECT * FROM records WHERE NOT noise)"""
 def _papers(spark: SparkSession, d: str) -> DataFrame:
     """The extracted texts with their file's name, rank and role."""
     files = table(spark, d, "ingested_files").select("file_id", "original")
-    return roles.with_role(table(spark, d, "extraction_results").select("extraction_id", "file_id", "case_id", "text").join(files, "file_id", "left"), "original", "text")
+    texts = spread(table(spark, d, "extraction_results").select("extraction_id", "file_id", "case_id", "text"))
+    return roles.with_role(texts.join(files, "file_id", "left"), "original", "text")
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines.explode_lines(table(spark, d, "extraction_results"), "extraction_id")
+    return lines.explode_lines(spread(table(spark, d, "extraction_results").select("extraction_id", "text")), "extraction_id")
 
 
 @_query(f"WITH {_LINES} SELECT extraction_id, line, text FROM lines")
@@ -185,7 +186,8 @@ _ALL_POINTS = _HITS + ", " + _points_sql("hits", "z_") + ", floats AS (SELECT *
 
 def _first_hits(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "ingested_files").select("file_id", "original")
-    return staged(points.first_hits(table(spark, d, "extraction_results").select("extraction_id", "file_id", "text").join(files, "file_id", "left"), "extraction_id", fields={"source": "original"}))
+    texts = spread(table(spark, d, "extraction_results").select("extraction_id", "file_id", "text"))
+    return staged(points.first_hits(texts.join(files, "file_id", "left"), "extraction_id", fields={"source": "original"}))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -515,7 +517,7 @@ fin AS (SELECT *, list_filter([CASE WHEN characters < 40 THEN 'little text' END,
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return quality.page_scores(lines.page_texts(table(spark, d, "extraction_results"), "extraction_id"), "extraction_id")
+    return quality.page_scores(lines.page_texts(spread(table(spark, d, "extraction_results").select("extraction_id", "text")), "extraction_id"), "extraction_id")
 
 
 @_query(f"WITH {_PAGES}, {_SC} SELECT extraction_id, page, characters, noise_ratio, vowelless_ratio, short_token_ratio, relative_length, array_to_string(reasons, '; ') AS reasons, len(reasons) > 0 AS failed FROM fin")
