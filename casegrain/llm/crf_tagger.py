@@ -1,12 +1,16 @@
-"""Character BiLSTM with CRF transitions, in plain numpy (training and decoding).
+"""Character BiLSTM with CRF transitions: trained in numpy, decoded in windows.
 
-One layer, both directions run as one batched matrix product.  Characters are
-mapped to a closed alphabet (ASCII plus classes for everything else), so the
-model's size does not depend on the corpus.
+One layer.  A step of the LSTM takes STEP characters at once: their embeddings stand
+side by side in its input, and its state scores the tags of each of them, so that
+every character has its own tag while the recurrent product, which costs most, is
+made once for all of them.  Characters are mapped to a closed alphabet (ASCII plus
+classes for everything else), so the model's size does not depend on the corpus.
 
 Decoding works on overlapping windows: the emissions of all windows that cover a
 character are averaged, weighted by the distance to the window's edge, and one
-Viterbi pass over the whole text reconciles them.
+Viterbi pass over the whole text reconciles them.  The emissions come from
+onnxruntime if it can be imported (the trained weights as a graph of one LSTM), else
+from numpy; both give the same figures.
 """
 
 from __future__ import annotations
@@ -17,12 +21,15 @@ from functools import lru_cache
 import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+TAGS = ("O", *(f"B-{k}" for k in KINDS), *(f"I-{k}" for k in KINDS))
+N = len(KINDS)
 K = len(TAGS)
 #: Ids 0 padding, 1..127 ASCII, then classes of other characters.
 PAD, UPPER, LOWER, LETTER, DIGIT, SPACE, PUNCT, OTHER = 0, 128, 129, 130, 131, 132, 133, 134
 VOCAB = 135
-WINDOW, OVERLAP = 288, 24
+#: Characters of a step; windows and overlaps are multiples of it.
+STEP = 4
+WINDOW, OVERLAP = 384, 24
 
 
 @lru_cache(maxsize=8192)
@@ -37,47 +44,62 @@ def _class_of(c: str) -> int:
     return {"Lu": UPPER, "Ll": LOWER, "Nd": DIGIT, "Zs": SPACE}.get(cat) or (LETTER if cat[0] == "L" else PUNCT if cat[0] in "PS" else OTHER)
 
 
-_ASCII = np.arange(VOCAB, dtype=np.uint8)
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Alphabet ids of the characters below U+3000; those above are looked up one by one."""
+    return np.array([OTHER, *(_class_of(chr(o)) for o in range(1, 0x3000))], np.uint8)
 
 
 def encode(text: str) -> np.ndarray:
     """Alphabet ids of a text, one for each code point."""
-    if text.isascii():
-        raw = np.frombuffer(text.encode("ascii"), np.uint8)
-        return np.where(raw == 0, OTHER, raw).astype(np.uint8)
-    return np.fromiter((_class_of(c) for c in text), np.uint8, len(text))
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    t = _classes()
+    out = t[np.minimum(a, len(t) - 1)]
+    for k in np.flatnonzero(a >= len(t)):
+        out[k] = _class_of(text[k])
+    return out
 
 
-def init(hidden: int, seed: int = 7) -> dict[str, np.ndarray]:
+def init(hidden: int, step: int = STEP, width: int = 10, seed: int = 7) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     p = {
-        "W": r.normal(0, 0.12, (2, VOCAB, 4 * hidden)),
+        "E": r.normal(0, 0.5, (VOCAB, width)),
+        "W": r.normal(0, 1 / np.sqrt(step * width), (2, step * width, 4 * hidden)),
+        "b": np.zeros((2, 4 * hidden)),
         "U": r.normal(0, 1 / np.sqrt(hidden), (2, hidden, 4 * hidden)) * 0.7,
-        "O": r.normal(0, 0.1, (2 * hidden, K)),
-        "c": np.zeros(K),
+        "O": r.normal(0, 0.1, (2 * hidden, step * K)),
+        "c": np.zeros(step * K),
         "T": r.normal(0, 0.05, (K, K)),
     }
-    p["W"][:, :, hidden : 2 * hidden] += 1.0  # forget gates start open
+    p["b"][:, hidden : 2 * hidden] += 1.0  # forget gates start open
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _states(p: dict, X: np.ndarray, keep: bool = False):
-    """Hidden states (B, T, 2H) of both directions; with keep also what the backward pass needs."""
+def _inputs(p: dict, X: np.ndarray) -> np.ndarray:
+    """(B, steps, step * width) embeddings of the characters of each step; X is as wide as a whole number of steps."""
     B, T = X.shape
-    H = p["U"].shape[1]
+    width = p["W"].shape[1]
+    return p["E"][X].reshape(B, T * p["E"].shape[1] // width, width)
+
+
+def _states(p: dict, X: np.ndarray, keep: bool = False):
+    """Hidden states (B, steps, 2H) of both directions; with keep also what the backward pass needs."""
+    B, H = len(X), p["U"].shape[1]
     scale = np.ones(4 * H, np.float32)
     scale[: 3 * H] = 0.5  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
-    W, U = p["W"] * scale, p["U"] * scale
+    U = p["U"] * scale
+    I = _inputs(p, X)  # noqa: E741
+    n = I.shape[1]
+    G = np.stack([(I @ p["W"][d] + p["b"][d]) * scale for d in (0, 1)])  # 2, B, steps, 4H
     h = np.zeros((2, B, H), np.float32)
     c = np.zeros((2, B, H), np.float32)
-    out = np.empty((B, T, 2 * H), np.float32)
+    out = np.empty((B, n, 2 * H), np.float32)
     trace = []
-    G = np.empty((2, B, 4 * H), np.float32)
-    for t in range(T):
-        np.take(W[0], X[:, t], axis=0, out=G[0])
-        np.take(W[1], X[:, T - 1 - t], axis=0, out=G[1])
-        G += np.matmul(h, U)
-        Z = np.tanh(G)
+    for t in range(n):
+        Z = np.matmul(h, U)
+        Z[0] += G[0, :, t]
+        Z[1] += G[1, :, n - 1 - t]
+        np.tanh(Z, out=Z)
         S = Z[:, :, : 3 * H] * 0.5 + 0.5
         i, f, o, g = S[:, :, :H], S[:, :, H : 2 * H], S[:, :, 2 * H :], Z[:, :, 3 * H :]
         prev_c, prev_h = c, h
@@ -85,56 +107,94 @@ def _states(p: dict, X: np.ndarray, keep: bool = False):
         tc = np.tanh(c)
         h = o * tc
         out[:, t, :H] = h[0]
-        out[:, T - 1 - t, H:] = h[1]
+        out[:, n - 1 - t, H:] = h[1]
         if keep:
             trace.append((i, f, o, g, prev_c, prev_h, tc))
-    return (out, trace) if keep else out
+    return (out, trace, I) if keep else out
 
 
 def emissions(p: dict, X: np.ndarray) -> np.ndarray:
-    """Tag scores (B, T, K); the same as _states @ O + c, without what training needs and with fewer passes over memory.
+    """Tag scores (B, T, K) of the characters X (B, T); T is a multiple of the step."""
+    return (_states(p, X) @ p["O"] + p["c"]).reshape(*X.shape, K)
 
-    With sigmoid(x) = (tanh(x / 2) + 1) / 2 the halves are left out of the loop: h is
-    kept doubled, and U and O are halved for it.
-    """
-    B, T = X.shape
+
+# -- the same as a graph for onnxruntime ------------------------------------------
+def _varint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+def _field(number: int, value: int | bytes | str) -> bytes:
+    """A field of a protocol-buffer message: a number, or text or bytes with their length."""
+    if isinstance(value, int):
+        return _varint(number << 3) + _varint(value)
+    data = value.encode() if isinstance(value, str) else value
+    return _varint(number << 3 | 2) + _varint(len(data)) + data
+
+
+def _tensor(name: str, a: np.ndarray) -> bytes:
+    kind = {"float32": 1, "int64": 7}[str(a.dtype)]
+    return b"".join(_field(1, d) for d in a.shape) + _field(2, kind) + _field(8, name) + _field(9, a.tobytes())
+
+
+def _node(op: str, ins: list[str], outs: list[str], **attributes: int | str | list[int]) -> bytes:
+    out = b"".join(_field(1, x) for x in ins) + b"".join(_field(2, x) for x in outs) + _field(4, op)
+    for k, v in attributes.items():
+        a = _field(3, v) + _field(20, 2) if isinstance(v, int) else _field(4, v) + _field(20, 3) if isinstance(v, str) else b"".join(_field(8, x) for x in v) + _field(20, 7)
+        out += _field(5, _field(1, k) + a)
+    return out
+
+
+def _value(name: str, kind: int, dims: list[int | str]) -> bytes:
+    shape = b"".join(_field(1, _field(1, d) if isinstance(d, int) else _field(2, d)) for d in dims)
+    return _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, shape)))
+
+
+def graph(p: dict) -> bytes:
+    """The tagger as a graph in the ONNX format: x (steps, B, step) of ids to y (steps, B, step * K) of scores."""
     H = p["U"].shape[1]
-    scale = np.full(4 * H, 2.0, np.float32)
-    scale[: 3 * H] = -1.0
-    W, U = p["W"] * scale, p["U"] * scale * 0.5
-    O = (p["O"] * 0.5).reshape(2, H, K)  # noqa: E741
-    h, c = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32)
-    G, M = np.empty((2, B, 4 * H), np.float32), np.empty((2, B, 4 * H), np.float32)
-    a, E = np.empty((2, B, H), np.float32), np.empty((2, B, K), np.float32)
-    i, f, o, g = (G[:, :, k * H : (k + 1) * H] for k in range(4))
-    out = np.zeros((T, B, K), np.float32)
-    np.seterr(over="ignore")  # exp of a large number is inf, and the gate then exactly 1 or 0
-    ids = np.ascontiguousarray(X.T)
-    for t in range(T):
-        np.take(W[0], ids[t], axis=0, out=G[0])
-        np.take(W[1], ids[T - 1 - t], axis=0, out=G[1])
-        np.matmul(h, U, out=M)
-        G += M
-        # tanh(x / 2) + 1 = 2 / (1 + exp(-x)), and tanh(x) likewise: exp is the faster function.
-        np.exp(G, out=G)
-        G += 1.0
-        np.divide(2.0, G, out=G)
-        np.subtract(1.0, g, out=g)
-        np.multiply(c, f, out=c)
-        np.multiply(i, g, out=a)
-        c += a
-        c *= 0.5
-        np.multiply(c, 2.0, out=a)
-        np.exp(a, out=a)
-        a += 1.0
-        np.divide(2.0, a, out=a)
-        np.subtract(1.0, a, out=a)
-        np.multiply(o, a, out=h)
-        np.matmul(h, O, out=E)
-        out[t] += E[0]
-        out[T - 1 - t] += E[1]
-    out += p["c"]
-    return out.transpose(1, 0, 2)
+    step = p["W"].shape[1] // p["E"].shape[1]
+    order = np.r_[0:H, 2 * H : 3 * H, H : 2 * H, 3 * H : 4 * H]  # the format's gates: input, output, forget, cell
+    turn = lambda a: np.ascontiguousarray(a[..., order].transpose(0, 2, 1))
+    bias = np.concatenate([p["b"][:, order], np.zeros_like(p["b"])], axis=1)
+    tensors = [
+        _tensor("E", p["E"]), _tensor("W", turn(p["W"])), _tensor("R", turn(p["U"])), _tensor("b", bias), _tensor("O", p["O"]), _tensor("c", p["c"]),
+        _tensor("flat", np.array([0, 0, p["W"].shape[1]], np.int64)), _tensor("both", np.array([0, 0, 2 * H], np.int64)),
+    ]
+    nodes = [
+        _node("Gather", ["E", "x"], ["e"]), _node("Reshape", ["e", "flat"], ["i"]), _node("LSTM", ["i", "W", "R", "b"], ["h"], direction="bidirectional", hidden_size=H),
+        _node("Transpose", ["h"], ["t"], perm=[0, 2, 1, 3]), _node("Reshape", ["t", "both"], ["s"]), _node("MatMul", ["s", "O"], ["m"]), _node("Add", ["m", "c"], ["y"]),
+    ]
+    g = b"".join(_field(1, n) for n in nodes) + _field(2, "tagger") + b"".join(_field(5, t) for t in tensors) + _field(11, _value("x", 6, ["n", "b", step])) + _field(12, _value("y", 1, ["n", "b", step * K]))
+    return _field(1, 8) + _field(7, g) + _field(8, _field(1, "") + _field(2, 14))
+
+
+class Runner:
+    """Emissions of a model by onnxruntime on one thread, or by numpy where it is not installed."""
+
+    def __init__(self, p: dict):
+        self.p, self.session, self.T = p, None, settled(p["T"])
+        self.step = p["W"].shape[1] // p["E"].shape[1]
+        try:
+            import onnxruntime
+        except ImportError:
+            return
+        how = onnxruntime.SessionOptions()
+        how.intra_op_num_threads = how.inter_op_num_threads = 1
+        how.log_severity_level = 3
+        self.session = onnxruntime.InferenceSession(graph(p), how, providers=["CPUExecutionProvider"])
+
+    def __call__(self, X: np.ndarray) -> np.ndarray:
+        """Tag scores (B, T, K)."""
+        if self.session is None:
+            return emissions(self.p, X)
+        B, T = X.shape
+        ids = np.ascontiguousarray(X.reshape(B, T // self.step, self.step).transpose(1, 0, 2).astype(np.int32))
+        y = self.session.run(None, {"x": ids})[0]
+        return y.transpose(1, 0, 2).reshape(B, T, K)
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -146,8 +206,9 @@ def loss_and_grads(p: dict, X: np.ndarray, Y: np.ndarray) -> tuple[float, dict]:
     """Negative log likelihood of the CRF for each character, and its gradients."""
     B, T = X.shape
     H = p["U"].shape[1]
-    hs, trace = _states(p, X, keep=True)
-    E = hs @ p["O"] + p["c"]
+    hs, trace, I = _states(p, X, keep=True)  # noqa: E741
+    n = hs.shape[1]
+    E = (hs @ p["O"] + p["c"]).reshape(B, T, K)
     A = np.empty((T, B, K), np.float32)
     A[0] = E[:, 0]
     for t in range(1, T):
@@ -164,32 +225,36 @@ def loss_and_grads(p: dict, X: np.ndarray, Y: np.ndarray) -> tuple[float, dict]:
     gold = E[rows, cols, Y].sum(1) + p["T"][Y[:, :-1], Y[:, 1:]].sum(1)
     dE[rows, cols, Y] -= 1
     np.add.at(dT, (Y[:, :-1].ravel(), Y[:, 1:].ravel()), -1)
-    n = float(B * T)
-    dE /= n
-    g = {"T": dT / n, "c": dE.sum((0, 1)), "O": np.tensordot(hs, dE, ((0, 1), (0, 1)))}
+    size = float(B * T)
+    dE = (dE / size).reshape(B, n, -1)
+    g = {"T": dT / size, "c": dE.sum((0, 1)), "O": np.tensordot(hs, dE, ((0, 1), (0, 1)))}
     dH = dE @ p["O"].T
-    dW, dU = np.zeros_like(p["W"]), np.zeros_like(p["U"])
+    dU = np.zeros_like(p["U"])
     dh, dc = np.zeros((2, B, H), np.float32), np.zeros((2, B, H), np.float32)
     U_t = p["U"].transpose(0, 2, 1).copy()
-    D = np.empty((2, B, 4 * H), np.float32)
-    for t in range(T - 1, -1, -1):
+    D = np.empty((2, n, B, 4 * H), np.float32)  # by place in the text
+    for t in range(n - 1, -1, -1):
         i, f, o, gg, prev_c, prev_h, tc = trace[t]
         dh[0] += dH[:, t, :H]
-        dh[1] += dH[:, T - 1 - t, H:]
+        dh[1] += dH[:, n - 1 - t, H:]
         dc += dh * o * (1 - tc * tc)
-        D[:, :, :H] = dc * gg * i * (1 - i)
-        D[:, :, H : 2 * H] = dc * prev_c * f * (1 - f)
-        D[:, :, 2 * H : 3 * H] = dh * tc * o * (1 - o)
-        D[:, :, 3 * H :] = dc * i * (1 - gg * gg)
-        dU += np.matmul(prev_h.transpose(0, 2, 1), D)
-        for d, x in ((0, X[:, t]), (1, X[:, T - 1 - t])):
-            order = np.argsort(x, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
-            dW[d][x[order][starts]] += np.add.reduceat(D[d][order], starts, axis=0)
-        dh = np.matmul(D, U_t)
+        d = np.concatenate([dc * gg * i * (1 - i), dc * prev_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=2)
+        dU += np.matmul(prev_h.transpose(0, 2, 1), d)
+        D[0, t], D[1, n - 1 - t] = d[0], d[1]
+        dh = np.matmul(d, U_t)
         dc = dc * f
-    g["W"], g["U"] = dW, dU
-    return float((logz - gold).sum() / n), g
+    g["U"] = dU
+    g["b"] = D.sum((1, 2))
+    flat = np.ascontiguousarray(I.transpose(1, 0, 2)).reshape(n * B, -1)
+    D = D.reshape(2, n * B, 4 * H)
+    g["W"] = np.stack([flat.T @ D[d] for d in (0, 1)])
+    dI = sum(D[d] @ p["W"][d].T for d in (0, 1)).reshape(n, B, -1).transpose(1, 0, 2).reshape(B * T, -1)
+    x = X.ravel()
+    order = np.argsort(x, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
+    g["E"] = np.zeros_like(p["E"])
+    g["E"][x[order][starts]] = np.add.reduceat(dI[order], starts, axis=0)
+    return float((logz - gold).sum() / size), g
 
 
 class Adam:
@@ -219,77 +284,162 @@ def _windows(n: int) -> list[int]:
 _EDGE = np.minimum(np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1, OVERLAP).astype(np.float32) / OVERLAP
 
 
-def decode(p: dict, texts: list[str], batch: int = 384) -> list[list[tuple[int, int, str]]]:
+def decode(p: dict | Runner, texts: list[str], batch: int = 32) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) of each text.  Empty texts have none; a text of any length is decoded whole."""
-    if not texts:
-        return []
-    ids = [encode(t) for t in texts]
-    where = [(k, s) for k, x in enumerate(ids) if len(x) for s in _windows(len(x))]
-    total = [np.zeros((len(x), K), np.float32) for x in ids]
-    weight = [np.zeros((len(x), 1), np.float32) for x in ids]
-    where.sort(key=lambda ks: min(WINDOW, len(ids[ks[0]]) - ks[1]))
+    run = p if isinstance(p, Runner) else Runner(p)
+    size = [len(t) for t in texts]
+    first = np.cumsum([0, *size])  # the texts' characters stand one behind the other
+    ids = encode("".join(texts))
+    where = [(min(WINDOW, n - s), k, s) for k, n in enumerate(size) if n for s in _windows(n)]
+    where.sort()
+    total = np.zeros((len(ids), K), np.float32)
+    weight = np.ones(len(ids), np.float32)
+    for k, n in enumerate(size):
+        if n > WINDOW:
+            weight[first[k] : first[k + 1]] = 0
     for b in range(0, len(where), batch):
         part = where[b : b + batch]
-        width = max(min(WINDOW, len(ids[k]) - s) for k, s in part)
+        width = -(-part[-1][0] // run.step) * run.step
         X = np.zeros((len(part), width), np.uint8)
-        for r, (k, s) in enumerate(part):
-            w = ids[k][s : s + width]
-            X[r, : len(w)] = w
-        E = emissions(p, X)
-        for r, (k, s) in enumerate(part):
-            n = min(width, len(ids[k]) - s)
-            e = _EDGE[:n, None].copy()
+        starts = [int(first[k]) + s for _, k, s in part]
+        for r, (at, (n, _, _)) in enumerate(zip(starts, part)):
+            X[r, :n] = ids[at : at + n]
+        E = run(X)
+        for r, (at, (n, k, s)) in enumerate(zip(starts, part)):
+            if size[k] <= WINDOW:  # the only window of its text
+                total[at : at + n] = E[r, :n]
+                continue
+            e = _EDGE[:n].copy()
             if s == 0:
                 e[:OVERLAP] = 1
-            if s + n == len(ids[k]):
+            if s + n == size[k]:
                 e[-OVERLAP:] = 1
-            total[k][s : s + n] += E[r, :n] * e
-            weight[k][s : s + n] += e
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    order = sorted((k for k in range(len(ids)) if len(ids[k])), key=lambda k: len(ids[k]))
-    for b in range(0, len(order), 256):
-        group = order[b : b + 256]
-        for k, tags in zip(group, _viterbi([total[k] / weight[k] for k in group], p["T"])):
-            out[k] = _spans(tags)
-    return out
+            total[at : at + n] += E[r, :n] * e[:, None]
+            weight[at : at + n] += e
+    total /= weight[:, None]
+    return _spans(viterbi(total, first, run.T), first)
+
+
+def viterbi(E: np.ndarray, first: np.ndarray, T: np.ndarray) -> np.ndarray:
+    """Best tag paths of texts whose emissions stand one behind the other, from first[k] to first[k + 1].
+
+    Most of a text is settled beforehand.  In a run of characters at each of which O leads
+    every other tag by more than g, what a step between two other tags gains over one
+    between two O, a path that leaves O and comes back loses.  One that comes from outside
+    the run, or goes on behind it, loses the leads in between, less g each; at a character
+    with more of them on either side than entering and leaving can gain (behind the run
+    its span would have to begin there, which its emissions may speak against), every
+    best path has O.  The paths between such characters are found apart from each other.
+    """
+    best = np.zeros(len(E), np.uint8)
+    if not len(E):
+        return best
+    can = T > -1e3
+    g = max(0.0, float(T[1:, 1:].max() - T[0, 0]), float(T[0, 1:].max() + T[1:, 0].max() - 2 * T[0, 0]))
+    enter = float(np.where(can, T - T[:, :1], -np.inf)[:, 1:].max())
+    leave = float((T[1:, : N + 1] - T[:1, : N + 1]).max())
+    late = float(T[1:, N + 1 :].max() - T[0, 1 : N + 1].min() + np.where(can[N + 1 :], T[N + 1 :] - np.where(can[1 : N + 1], T[1 : N + 1], -1e3), -np.inf)[:, : N + 1].max())
+    late = max(late, float(T[1:, N + 1 :].max() - T[0, 1 : N + 1].min() + (np.diagonal(T[N + 1 :, N + 1 :]) - np.diagonal(T[1 : N + 1, N + 1 :])).max()))
+    lead = E[:, 0] - np.maximum.reduce([E[:, k] for k in range(1, K)]) - g
+    ok = lead > 0
+    sums = np.cumsum(np.where(ok, lead, 0.0))
+    bound = np.zeros(len(E) + 1, bool)
+    bound[first[first <= len(E)]] = True
+    ok_before = np.r_[False, ok[:-1]] & ~bound[:-1]
+    start = np.flatnonzero(ok & ~ok_before)
+    end = np.flatnonzero(ok & ~(np.r_[ok[1:], False] & ~bound[1:]))
+    of = np.cumsum(ok & ~ok_before) - 1
+    left = sums - np.where(start > 0, sums[start - 1], 0.0)[of] if len(start) else sums
+    right = sums[end][of] - sums + np.where(ok, lead, 0.0) if len(start) else sums
+    if len(start):
+        behind = np.minimum(end + 1, len(E) - 1)
+        edge = (enter + g + 1e-3 + np.maximum(leave, late + (E[behind, N + 1 :] - E[behind, 1 : N + 1]).max(1)))[of]
+    else:
+        edge = np.inf
+    sure = ok & (left > edge) & (right > edge)
+    open_ = np.flatnonzero(~sure)
+    if not len(open_):
+        return best
+    text = np.searchsorted(first, open_, side="right")
+    new = np.flatnonzero(np.r_[True, (np.diff(open_) > 1) | (np.diff(text) > 0)])
+    starts, ends = open_[new], open_[np.r_[new[1:] - 1, len(open_) - 1]] + 1
+    edges = set(first.tolist())
+    pieces = []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        e = E[a:b].copy()
+        if a not in edges:
+            e[0] += T[best[a - 1]]
+        if b not in edges:
+            e[-1] += T[:, best[b]]
+        pieces.append((a, e))
+    pieces.sort(key=lambda x: -len(x[1]))
+    for k in range(0, len(pieces), 512):
+        part = pieces[k : k + 512]
+        for (a, _), path in zip(part, _viterbi([e for _, e in part], T)):
+            best[a : a + len(path)] = path
+    return best
+
+
+def settled(T: np.ndarray) -> np.ndarray:
+    """The transitions that decoding uses: an I tag follows only a tag of its own kind, and a B tag behind another span's costs the same for all.
+
+    Neither occurs in labels, so training has nothing to tell about them.
+    """
+    T = T.copy()
+    T[1:, 1 : N + 1] = T[1:, 1 : N + 1].mean()
+    T[0, N + 1 :] = -1e4
+    inner = T[1:, N + 1 :].copy()
+    T[1:, N + 1 :] = -1e4
+    for k in range(N):
+        T[1 + k, N + 1 + k], T[N + 1 + k, N + 1 + k] = inner[k, k], inner[N + k, k]
+    return T
 
 
 def _viterbi(E: list[np.ndarray], T: np.ndarray) -> list[np.ndarray]:
-    """Best tag paths; the texts, sorted by length, are stepped through together."""
+    """Best tag paths under settled transitions; the texts, the longest first, are stepped through together.
+
+    Texts are the inner axis, so that each step is a few operations on long rows; what
+    can come before a tag is looked at only once where it is the same for several.
+    """
     n = np.array([len(e) for e in E])
-    B, L = len(E), int(n.max())
-    S = np.zeros((L, B, K), np.float32)  # emissions, then the best scores of paths that end in a tag
+    B, L = len(E), int(n[0])
+    S = np.zeros((L, K, B), np.float32)  # emissions, then the best scores of paths that end in a tag
     for r, e in enumerate(E):
-        S[: len(e), r] = e
-    From = np.ascontiguousarray(T[:, None, :])  # tag before, text, tag
-    x = np.empty((K, B, K), np.float32)
+        S[: len(e), :, r] = e
+    alive = np.searchsorted(-n, -np.arange(L + 1), side="left")  # texts longer than t stand before it
+    out_of, into, again = T[1:, :1], T[0, 1 : N + 1, None], T[1, 1]
+    first_on, on = np.diagonal(T[1 : N + 1, N + 1 :])[:, None], np.diagonal(T[N + 1 :, N + 1 :])[:, None]
     for t in range(1, L):
-        alive = int(np.searchsorted(n, t, side="right"))  # texts before it have ended
-        y = x[:, : B - alive]
-        np.add(S[t - 1, alive:].T[:, :, None], From, out=y)
-        S[t, alive:] += y.max(axis=0)
+        k = alive[t]
+        p, q = S[t - 1, :, :k], S[t, :, :k]
+        q[0] += np.maximum(p[0] + T[0, 0], (p[1:] + out_of).max(0))
+        q[1 : N + 1] += np.maximum(p[0] + into, p[1:].max(0) + again)
+        q[N + 1 :] += np.maximum(p[1 : N + 1] + first_on, p[N + 1 :] + on)
     path = np.zeros((L, B), np.uint8)
     cur = np.zeros(B, np.int64)
     Tt = np.ascontiguousarray(T.T)
     for t in range(L - 1, -1, -1):
-        alive = int(np.searchsorted(n, t, side="right"))
-        old = int(np.searchsorted(n, t + 1, side="right"))  # texts from alive to it end here
-        cur[alive:old] = S[t, alive:old].argmax(1)
-        if old < B:  # where the next character's tag came from
-            cur[old:] = (S[t, old:] + Tt[cur[old:]]).argmax(1)
-        path[t, alive:] = cur[alive:]
+        on_, k = alive[t + 1], alive[t]
+        z = np.ascontiguousarray(S[t, :, :k].T)
+        z[:on_] += Tt[cur[:on_]]  # where the next character's tag came from; the others end here
+        cur[:k] = z.argmax(1)
+        path[t, :k] = cur[:k]
     return [path[:k, r] for r, k in enumerate(n)]
 
 
-def _spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
-    """Maximal runs of one kind; a B tag begins a new run."""
-    if not tags.any():
-        return []
-    kind = (tags.astype(np.int16) + 1) // 2  # 0 outside, else 1 + index of the kind
-    begin = (tags % 2 == 1) | (kind != np.r_[0, kind[:-1]])
-    starts = np.flatnonzero(begin)
-    ends = np.r_[starts[1:], len(tags)]
-    return [(int(s), int(e), KINDS[kind[s] - 1]) for s, e in zip(starts, ends) if kind[s]]
+def _spans(tags: np.ndarray, first: np.ndarray) -> list[list[tuple[int, int, str]]]:
+    """Maximal runs of one kind in each of the texts that stand from first[k] to first[k + 1]; a B tag begins a new run."""
+    out: list[list[tuple[int, int, str]]] = [[] for _ in first[1:]]
+    at = np.flatnonzero(tags)
+    if not len(at):
+        return out
+    kind, text = (tags[at] - 1) % N, np.searchsorted(first, at, side="right") - 1
+    k = np.flatnonzero(np.r_[True, (at[1:] - at[:-1] > 1) | (kind[1:] != kind[:-1]) | (text[1:] != text[:-1]) | (tags[at[1:]] <= N)])
+    ends = at[np.r_[k[1:] - 1, len(at) - 1]] + 1
+    base = first[text[k]]
+    for t, s, e, x in zip(text[k].tolist(), (at[k] - base).tolist(), (ends - base).tolist(), kind[k].tolist()):
+        out[t].append((s, e, KINDS[x]))
+    return out
 
 
 def save(p: dict, path: str) -> None:

@@ -25,7 +25,7 @@ from .pii_train import GIVEN
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 #: Texts decoded together in a task.
-BATCH_CHARS = 400_000
+BATCH_CHARS = 1_000_000
 
 _EMAIL = re.compile(r"^[\w.+-]+\s*(?:@|\[at\]|\(at\)|\bat\b)\s*[\w-]+(?:(?:\s*(?:\[dot\]|\(dot\)|\bdot\b)\s*|\.)[\w-]+)+$", re.I)
 #: One address in a span that the tagger has run together with its neighbour.
@@ -37,8 +37,8 @@ _WORD = re.compile(r"[^\W\d_]", re.U)
 
 
 @lru_cache(maxsize=1)
-def tagger() -> dict:
-    return M.load(WEIGHTS)
+def tagger() -> M.Runner:
+    return M.Runner(M.load(WEIGHTS))
 
 
 def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
@@ -186,12 +186,12 @@ def _decoded(rows: DataFrame, with_text: bool) -> DataFrame:
                 got = spans_of(texts[k:n])
                 spans = [[{"start": x, "end": y, "pii_type": t, "pii_text": re.sub(r"\s+", " ", s[x:y])} for x, y, t in g] for s, g in zip(texts[k:n], got)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[k:n], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("pii_text", pa.string())]))), pa.array([redact(s, g) if with_text else None for s, g in zip(texts[k:n], got)], pa.string())],
+                    [pa.array(keys[k:n], pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("pii_text", pa.string())]))), pa.array([redact(s, g) if with_text else None for s, g in zip(texts[k:n], got)], pa.string())],
                     names=["h", "spans", "redacted"],
                 )
                 k = n
 
-    return rows.mapInArrow(run, "h bigint, spans array<struct<start:int,end:int,pii_type:string,pii_text:string>>, redacted string")
+    return rows.mapInArrow(run, "h binary, spans array<struct<start:int,end:int,pii_type:string,pii_text:string>>, redacted string")
 
 
 def tag(tables: list[tuple[DataFrame, str, str]], with_text: bool = True) -> DataFrame:
@@ -202,11 +202,11 @@ def tag(tables: list[tuple[DataFrame, str, str]], with_text: bool = True) -> Dat
     """
     rows = None
     for df, name, key in tables:
-        x = df.select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), "text").where("text is not null and text <> ''").withColumn("h", F.xxhash64("text"))
+        x = df.select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), "text").where("text is not null and text <> ''").withColumn("h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
         rows = x if rows is None else rows.unionByName(x)
-    # A text is shuffled once, to its copies; records are joined by its hash and never carry it.
+    # A text is shuffled once, to its copies; records are joined by its digest (SHA-256) and never carry it.
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    n = max(2 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     decoded = staged(_decoded(rows.select("h", "text").repartition(n, "h").dropDuplicates(["h"]), with_text))
     return rows.select("record_table", "record_id", "h").distinct().join(decoded, "h").drop("h")
 

@@ -32,11 +32,12 @@ from ..io import spread
 SLOTS = 1 << 18
 #: A paragraph of the corpus has about so many sentences: a word that always opens sentences opens a paragraph in this share.
 SHARE = 0.25
-#: Spans of more candidates than this are not considered; nothing is dropped, a longer quotation is divided.
-MOST_INNER = 96
-BOUNDARY, STRONG, UNBALANCED, LOWER = 1.5, 2.0, -7.0, -6.0
+#: Characters that a sentence may have before its length counts against it, and what each more costs.
+USUAL, LONGER = 400, 0.002
+BOUNDARY, STRONG, LOWER = 1.5, 2.0, -6.0
 
 OPEN, CLOSE = "“«„「『‹([（【《", "”»」』›)]）】》"
+_MARKS = re.compile("[\"" + re.escape(OPEN + CLOSE) + "]")
 _CLOSERS = "”»」』›)\\]）】》\"'’“"
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _CANDIDATE = re.compile(
@@ -152,25 +153,35 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, str]]:
     return out
 
 
-def _depths(text: str, a: int, points: list[int]) -> list[int]:
-    """Depth of quotations and brackets at each point of a block."""
-    depth, straight, k, out = 0, 0, 0, []
-    german = "„" in text[a : points[-1]]
-    for p in range(a, points[-1] + 1):
-        while k < len(points) and points[k] == p:
-            out.append(depth + straight)
-            k += 1
-        if k == len(points):
-            break
-        c = text[p]
+def quoted(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """(opening, closing) places of the outermost quotations and brackets that open and close in a block, in order.
+
+    What opens and never closes, as in a quotation that runs on in the next paragraph,
+    holds nothing.
+    """
+    german = "„" in text[a:b]
+    stack: list[int] = []
+    straight = -1
+    pairs: list[tuple[int, int]] = []
+    for m in _MARKS.finditer(text, a, b):
+        c, p = m[0], m.start()
         if c == '"':
-            straight = 1 - straight
-        elif c == "“" and german:
-            depth = max(0, depth - 1)
-        elif c in OPEN:
-            depth += 1
-        elif c in CLOSE:
-            depth = max(0, depth - 1)
+            if straight >= 0:
+                pairs.append((straight, p))
+                straight = -1
+            else:
+                straight = p
+        elif c in CLOSE or c == "“" and german:
+            if stack:
+                pairs.append((stack.pop(), p))
+        else:
+            stack.append(p)
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(pairs):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
     return out
 
 
@@ -217,9 +228,15 @@ def split_block(text: str, a: int, b: int, s: Scores) -> list[int]:
     cand = candidates(text, a, b)
     if not cand:
         return [b]
-    points = [a] + [p for p, _ in cand] + [b]
-    kinds = ["start"] + [k for _, k in cand] + ["end"]
-    depth = _depths(text, a, points)
+    # A span that ends inside a quotation that goes on is unbalanced, and so is the one behind it: neither is considered.
+    inside, free, k = quoted(text, a, b), [], 0
+    for c in cand:
+        while k < len(inside) and inside[k][1] < c[0]:
+            k += 1
+        if k == len(inside) or c[0] <= inside[k][0]:
+            free.append(c)
+    points = [a] + [p for p, _ in free] + [b]
+    kinds = ["start"] + [k for _, k in free] + ["end"]
     n = len(points)
     edge = [0.0] * n  # what a boundary at the point is worth
     for k in range(1, n - 1):
@@ -256,18 +273,18 @@ def split_block(text: str, a: int, b: int, s: Scores) -> list[int]:
     best = [-1e18] * n
     back = [0] * n
     best[0] = 0.0
+    far, at, p = -1e18, 0, 0  # of the starts that a span longer than USUAL has, the best one: its length costs in proportion
     for j in range(1, n):
-        for i in range(max(0, j - MOST_INNER), j):
-            length = points[j] - points[i]
-            v = best[i] + edge[j]
-            if depth[j] != depth[i]:
-                v += UNBALANCED
-            if length < 4:
-                v -= 2.0
-            elif length > 400:
-                v -= (length - 400) * 0.002
-            if v > best[j]:
-                best[j], back[j] = v, i
+        while points[j] - points[p] > USUAL:
+            if best[p] + LONGER * points[p] > far:
+                far, at = best[p] + LONGER * points[p], p
+            p += 1
+        v, back[j] = far - LONGER * (points[j] - USUAL), at
+        for i in range(p, j):
+            w = best[i] - (2.0 if points[j] - points[i] < 4 else 0.0)
+            if w > v:
+                v, back[j] = w, i
+        best[j] = v + edge[j]
     ends, j = [], n - 1
     while j:
         ends.append(points[j])

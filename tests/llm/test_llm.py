@@ -201,7 +201,7 @@ def test_near_contact_lines_of_a_sender(spark):
 def test_tagger_gradients():
     p = crf_tagger.init(4)
     r = np.random.default_rng(0)
-    x, y = r.integers(1, 120, (2, 7)), r.integers(0, crf_tagger.K, (2, 7))
+    x, y = r.integers(1, 120, (2, 8)), r.integers(0, crf_tagger.K, (2, 8))
     _, g = crf_tagger.loss_and_grads(p, x, y)
     for k in p:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
@@ -214,9 +214,29 @@ def test_tagger_gradients():
 
 def test_viterbi_equals_all_paths():
     r = np.random.default_rng(1)
-    e, t = r.normal(size=(4, crf_tagger.K)).astype(np.float32), r.normal(size=(crf_tagger.K, crf_tagger.K)).astype(np.float32)
-    best = max(itertools.product(range(crf_tagger.K), repeat=4), key=lambda s: sum(e[k, x] for k, x in enumerate(s)) + sum(t[a, b] for a, b in zip(s, s[1:])))
-    assert tuple(crf_tagger._viterbi([e], t)[0]) == best
+    for _ in range(20):
+        e, t = r.normal(size=(4, crf_tagger.K)).astype(np.float32), crf_tagger.settled(r.normal(size=(crf_tagger.K, crf_tagger.K)).astype(np.float32))
+        best = max(itertools.product(range(crf_tagger.K), repeat=4), key=lambda s: sum(e[k, x] for k, x in enumerate(s)) + sum(t[a, b] for a, b in zip(s, s[1:])))
+        assert tuple(crf_tagger._viterbi([e], t)[0]) == best
+
+
+def test_what_is_settled_beforehand_is_on_the_best_path():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        first = np.cumsum([0, *r.integers(0, 40, 5)])
+        e = r.normal(size=(first[-1], crf_tagger.K)).astype(np.float32) * r.choice([1, 3, 8])
+        e[:, 0] += r.choice([0, 3, 8, 15])
+        t = crf_tagger.settled((r.normal(size=(crf_tagger.K, crf_tagger.K)) * r.choice([0.1, 1, 2])).astype(np.float32))
+        got = crf_tagger.viterbi(e, first, t)
+        for a, b in zip(first, first[1:]):
+            assert a == b or (got[a:b] == crf_tagger._viterbi([e[a:b]], t)[0]).all()
+
+
+def test_both_engines_score_alike():
+    p = pii.tagger().p
+    x = np.random.default_rng(3).integers(0, 130, (3, 40)).astype(np.uint8)
+    assert np.abs(crf_tagger.Runner(p)(x) - crf_tagger.emissions(p, x)).max() < 1e-3
+    assert list(crf_tagger.encode("aÉß\u4e00\x00 ")) == [ord("a"), ord("E"), crf_tagger._class_of("ß"), crf_tagger.LETTER, crf_tagger.OTHER, 32]
 
 
 def test_long_texts_are_decoded_whole():
@@ -386,6 +406,29 @@ def test_every_character_is_in_a_sentence(scores):
     assert sentences.sentence_ends(None, scores) == sentences.sentence_ends(" \n", scores) == []
 
 
+def test_a_quotation_stays_whole_however_long(scores):
+    inner = "He saw the roof. It was wet. She left! Was it paid? "
+    for n in (1, 2, 5, 20, 75):
+        t = f"The witness said “{(inner * n).strip()}” and then went home. The insurer denied the claim."
+        assert sentences.sentence_ends(t, scores) == [t.index(" The insurer denied"), len(t)]
+        u = t.replace("“", '"').replace("”", '"')
+        assert sentences.sentence_ends(u, scores) == [u.index(" The insurer denied"), len(u)]
+    # A quotation that never closes holds nothing together.
+    t = "The witness said “" + inner * 3
+    assert len(sentences.sentence_ends(t, scores)) >= 10
+
+
+def test_spans_equal_plain_dynamic_programming(scores):
+    r = random.Random(4)
+    bits = ["The insurer denied the claim", "Mr", "cf", "3", "It rained", "No", "“Yes", "no”", "(see", "below)", "x" * 150]
+    for _ in range(60):
+        t = " ".join(r.choice(bits) + r.choice([".", ".", "!", "?", ",", ""]) for _ in range(r.randint(1, 40)))
+        ends = sentences.split_block(t, 0, len(t), scores)
+        assert ends == sorted(set(ends)) and ends[-1] == len(t)
+        assert not any(a < e <= b for a, b in sentences.quoted(t, 0, len(t)) for e in ends[:-1])
+
+
+
 # -- empty, null and repeated rows -------------------------------------------------
 def test_empty_tables(spark):
     hits = spark.createDataFrame([], "queried_name string, matched_name string")
