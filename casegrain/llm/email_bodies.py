@@ -3,16 +3,18 @@
 1. A body is cut into units (sentences, or lines where lines stand for themselves).
    Structure proposes what a unit is: quotation marks at line starts, attribution
    lines, header blocks and separators open earlier messages; separators, contact
-   data, jobs and firms make name blocks; whole paragraphs of legal notice close mails.
-2. Each unit of the sender's own text has a SimHash fingerprint.  Earlier near-matches
-   are found through Hamming partition tables: of five parts of the fingerprint two are
-   equal if at most three bits differ, so ten tables, each keyed by two parts, find
-   them.  Exact copies are grouped first, so that a text that a third of all mails share
-   is one row of a table; all distinct texts of a key are verified.
-3. A retrieved unit counts if its edit distance is small.  A unit that was in an
-   earlier mail by somebody else in the same exchange is inherited; one that is a
-   notice elsewhere is a notice; contact data that the same sender ends several mails
-   with, in this or a near form, is boilerplate of the sender.
+   data, jobs and firms make name blocks.  It also says where a sender has signed off.
+2. Each unit of the sender's own text has a SimHash fingerprint of its character pairs.
+   Near-matches are found through Hamming partition tables: the bits stand in ten
+   orders, each cut into four parts, and texts that share a part meet.  Exact copies are
+   grouped first, so that a text that a third of all mails share is one row of a table;
+   all distinct texts of a key are verified, by the bits that differ and then by their
+   edit distance.
+3. A notice is what several senders put behind their sign-off, in this or a near form,
+   whatever it says: no list of phrases is asked.  Names are left out of its
+   fingerprint, as they differ from firm to firm.  A unit that was in an earlier mail by
+   somebody else in the same exchange is inherited; contact data that the same sender
+   ends several mails with, in this or a near form, is boilerplate of the sender.
 """
 
 from __future__ import annotations
@@ -31,9 +33,22 @@ from pyspark.sql import functions as F
 
 from ..io import spread, staged
 
-BITS, FAR = 64, 3
-PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-TABLES = list(itertools.combinations(range(5), 2))
+#: Bits of a fingerprint, and how many may differ before the texts are compared.
+BITS, FAR = 64, 16
+#: The bits in several orders, each cut into four parts: what differs in three bits shares a part in every
+#: order, what differs in nine shares one in some order nine times of ten.
+ORDERS, WIDTH = 10, 16
+
+
+def _parts() -> list[list[int]]:
+    """The bits of each table's key."""
+    r = np.random.default_rng(64)
+    bits = [np.arange(BITS), *(r.permutation(BITS) for _ in range(ORDERS - 1))]
+    return [sorted(b[k : k + WIDTH].tolist()) for b in bits for k in range(0, BITS, WIDTH)]
+
+
+TABLES = _parts()
+MASKS = [sum(1 << b for b in t) for t in TABLES]
 #: Shorter units say too little to be recognised by their likeness.
 LEAST_CHARS = 40
 
@@ -47,13 +62,6 @@ _SEPARATOR = re.compile(r"(?i)^\s*[-_*=]{2,}\s*(?:original message|forwarded mes
 _RULE = re.compile(r"^\s*(?:--|—|–|-{2,}|={3,}|_{3,}|\*{3,}|~{3,}|#{3,})\s*$")
 # Lines that name a sending device or place.
 _DEVICE = re.compile(r"(?i)^\W*(?:sent (?:from|via|with|by) |von (?:meinem|unterwegs)|envoyé (?:de|depuis)|envoy\S{1,9} depuis|enviado desde|gesendet (?:von|mit)|(?:typed|written|dictated) on |get outlook|vom handy|desde mi (?:móvil|m\S{1,6}vil))")
-# Words of legal notices.
-_NOTICE = re.compile(
-    r"(?i)confidential(?:ity)? notice|intended (?:only )?for the addressee|meant for the addressee|(?:named|intended) recipient|privileged|reached you by mistake|received (?:this|it) (?:\w+ )?in error|destroy all copies|"
-    r"tax advice in this (?:message|e-?mail)|lawyer-client relationship|attorney-client (?:material|privilege)|without leave is|creates a contract|views in it are those|takes no responsibility for any damage|(?:scanned|checked) for viruses|"
-    r"vertrauliche informationen|nicht der richtige empf|genannten empf|löschen sie bitte|confidentiels? et réserv|seuls destinataires|détruire sans délai|d.truire sans d|mensaje es confidencial|exclusivamente a su destinatario|recibido por error|"
-    r"rely on this transmission|disclose or rely|legally privileged|think before (?:you )?print|avant d.imprimer|message et ses pi\S+ jointes"
-)
 # Words of jobs, and words that firms end with.
 _JOB = re.compile(r"(?i)\b(?:partner|associate|adjuster|paralegal|counsel|estimator|attorney|lawyer|solicitor|manager|director|engineer|inspector|secretary|assistant|consultant|rechtsanw\S+|sachbearbeiter\S*|gutachter\S*|schadenregulierer\S*|abogad[oa]|avocate?|perito|expert\S*|gestionnaire|juriste|tasador|of counsel|clerk|president|broker|examiner|sinistres|claims (?:dept|department|handler|counsel))\b")
 _FIRM = re.compile(r"(?i)\b(?:inc|llc|llp|ltd|corp|corporation|company|co|group|bank|services|supply|hospital|center|agency|association|insurance|realty|roofing|construction|logistics|transport|manufacturing|restoration|management|consultants|body|gmbh|partners|law)\b\.?(?:,.*)?\s*$")
@@ -70,9 +78,9 @@ _CONTACT = re.compile(CONTACT)
 
 
 def simhash(text: str) -> int:
-    """64-bit SimHash of the text's character four-grams, as a signed number."""
-    s = f"  {text}  "
-    grams = {s[i : i + 4] for i in range(len(s) - 3)}
+    """64-bit SimHash of the text's character pairs, as a signed number."""
+    s = f" {text} "
+    grams = {s[i : i + 2] for i in range(len(s) - 1)}
     h = np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
     bits = ((h[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.int32)
     on = (2 * bits.sum(0) > len(grams)).astype(np.uint64)
@@ -83,11 +91,18 @@ def normal(text: str) -> str:
     return re.sub(r"\W+", " ", text.lower()).strip()
 
 
+def skeleton(text: str) -> str:
+    """The words of a text but for names and numbers: those in small letters; all words if that leaves fewer than five."""
+    words = re.findall(r"\w+", text)
+    small = [w for w in words if w.islower()]
+    return " ".join(small) if len(small) >= 5 else normal(text)
+
+
 def is_email(text: str | None) -> bool:
     """Whether a text opens with header lines, after a page marker if any."""
     if not text:
         return False
-    lines = [x.strip() for x in text[:2000].splitlines() if x.strip() and not _PAGE.match(x)][:4]
+    lines = list(itertools.islice((m[0].strip() for m in re.finditer(r"[^\r\n]*\S[^\r\n]*", text) if not _PAGE.match(m[0])), 4))
     return len(lines) > 1 and bool(re.match(r"(?:From|To|Sent|Date|Von|An|De|À|Para|Gesendet|Subject)\s*:", lines[0])) and sum(bool(HEADER.match(x)) for x in lines) >= 2
 
 
@@ -176,22 +191,10 @@ def segment(text: str) -> list[tuple[str, str]]:
             paras.append([])
         paras[-1].append(i)
         last = i
-    first_body = 0
     for j, para in enumerate(paras):
-        whole = " ".join(lines[i].strip() for i in para)
-        if _NOTICE.search(whole) and len(para) <= 12:
-            # A notice stands by itself; lines before it in the paragraph may be a name block.
-            at = next((x for x, i in enumerate(para) if _NOTICE.search(lines[i]) or _NOTICE.search(" ".join(lines[q].strip() for q in para[x : x + 2]))), 0)
-            while at and not _signature_line(lines[para[at - 1]]) and not _NAME_LINE.match(lines[para[at - 1]].strip()) and not _RULE.match(lines[para[at - 1]]):
-                at -= 1
-            for i in para[at:]:
-                kind[i] = "disclaimer"
-            para = para[:at]
-        if not para:
-            continue
         marks = [bool(_signature_line(lines[i])) for i in para]
         rule = _RULE.match(lines[para[0]])
-        if rule and len(para) > 1 and j >= first_body and (any(marks) or _NAME_LINE.match(lines[para[1]].strip())):
+        if rule and len(para) > 1 and all(len(lines[i].strip()) < 110 for i in para) and (any(marks) or _NAME_LINE.match(lines[para[1]].strip())):
             for i in para:
                 kind[i] = "signature"
             continue
@@ -206,12 +209,14 @@ def segment(text: str) -> list[tuple[str, str]]:
                 lone -= 1
             if lone and _RULE.match(lines[para[lone - 1]]):
                 lone -= 1
-            tail = para[lone:]
+            # Sentences behind the last mark are none of the block's lines.
+            end = len(marks) - marks[::-1].index(True)
+            tail = para[lone:] if all(len(lines[i].strip()) < 50 for i in para[end:]) else para[lone:end]
             closing_before = any(_CLOSING.match(lines[i].strip()) for i in para[:x]) or (j and any(_CLOSING.match(lines[i].strip()) for i in paras[j - 1]))
             named = lone < x or closing_before
             strong = any(_PHONE.match(lines[i].strip().strip("*")) or _WEB.match(lines[i].strip()) or (lines[i].count("|") and re.search(r"\d{3}|@|\|.*\|", lines[i])) for i in tail)
             # A list of lines that happen to look alike is no name block without a name or contact data.
-            if all(len(lines[i]) < 110 or "|" in lines[i] for i in tail) and (named or strong) and len(tail) <= 9 and sum(marks[lone:]) * 2 >= len(tail) - 1:
+            if all(len(lines[i]) < 110 or "|" in lines[i] for i in tail) and (named or strong) and len(tail) <= 9 and sum(marks[lone : lone + len(tail)]) * 2 >= len(tail) - 1:
                 for i in tail:
                     kind[i] = "signature"
     for i in own:
@@ -226,33 +231,53 @@ def segment(text: str) -> list[tuple[str, str]]:
 _SENTENCE = re.compile(r"(?<=[.!?])[”\"»)]*\s+(?=[A-ZÀ-Þ¿¡«“\"„(])")
 
 
-def units(text: str) -> list[tuple[str, str, int]]:
-    """(kind, text, ends) of a mail's units in order; ends: 1 where a paragraph ends behind the unit."""
-    out: list[tuple[str, str, int]] = []
+def units(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, text, ends, place) of a mail's units in order.
+
+    ends: 1 where a paragraph ends behind the unit.  place: 2 for own text behind the
+    sender's sign-off (a closing word, a name block, a rule), 1 for own text in the last
+    own paragraph, else 0.
+    """
+    out: list[tuple[str, str, int, int]] = []
     hold: list[str] = []
+    signed = False
 
     def flush(ends: int) -> None:
         if hold:
             parts = [p for p in _SENTENCE.split(" ".join(hold)) if p.strip()]
-            out.extend(("own", p.strip(), 0) for p in parts)
+            out.extend(("own", p.strip(), 0, 2 * signed) for p in parts)
             hold.clear()
         if ends and out:
-            out[-1] = (*out[-1][:2], 1)
+            out[-1] = (*out[-1][:2], 1, out[-1][3])
 
     for kind, line in segment(text):
         s = line.strip()
         if kind == "own" and s:
-            if len(s) < 60 and (hold == [] or len(hold[-1]) < 40) and not re.search(r"[a-z,;]$", s):
+            if _CLOSING.match(s) or _RULE.match(s):
                 flush(0)
-                out.append(("own", s, 0))
+                out.append(("own", s, 0, 2 * signed))
+                signed = True
+            elif len(s) < 60 and (hold == [] or len(hold[-1]) < 40) and not re.search(r"[a-z,;]$", s):
+                flush(0)
+                out.append(("own", s, 0, 2 * signed))
             else:
-                hold.append(s)
+                m = re.match(r"[-_*=~#]{2,}\s+(?=\w)", s) if not hold else None
+                signed = signed or bool(m)  # a rule in the line itself
+                hold.append(s[m.end() :] if m else s)
         else:
             flush(1)
+            if kind == "signature":
+                signed = True
             if s and kind != "head":
-                out.append((kind, s, 0))
+                out.append((kind, s, 0, 0))
     flush(1)
-    return out
+    last = len(out)
+    own = [k for k, u in enumerate(out) if u[0] == "own"]
+    if own:
+        last = own[-1]
+        while last > 0 and out[last - 1][0] == "own" and not out[last - 1][2]:
+            last -= 1
+    return [(k, t, e, p or int(k == "own" and n >= last)) for n, (k, t, e, p) in enumerate(out)]
 
 
 def _address(line: str) -> str:
@@ -263,11 +288,24 @@ def _address(line: str) -> str:
 def _head(text: str) -> tuple[str, str, str]:
     """Sender, subject without reply marks, and date of the headers."""
     got = {"from": "", "subject": "", "date": ""}
-    for line in text[:3000].splitlines()[:14]:
-        m = re.match(r"\s*(From|Von|De|Subject|Betreff|Objet|Asunto|Date|Sent|Gesendet|Datum|Fecha|Envoyé|Enviado)\s*:\s*(.*)", line)
+    k, seen = "", False
+    for line in (m[0] for m in re.finditer(r"[^\n]*\n?", text)):
+        if _PAGE.match(line) or not line.strip():
+            if seen:
+                break
+            continue
+        if line[:1] in " \t" and seen:  # a header goes on
+            if k:
+                got[k] += " " + line.strip()
+            continue
+        if not HEADER.match(line.strip()):
+            break
+        seen, k = True, ""
+        m = re.match(r"(From|Von|De|Subject|Betreff|Objet|Asunto|Date|Sent|Gesendet|Datum|Fecha|Envoyé|Enviado)\s*:\s*(.*)", line.strip())
         if m:
-            k = {"Von": "from", "De": "from", "From": "from", "Subject": "subject", "Betreff": "subject", "Objet": "subject", "Asunto": "subject"}.get(m[1], "date")
-            got[k] = got[k] or m[2].strip()
+            name = {"Von": "from", "De": "from", "From": "from", "Subject": "subject", "Betreff": "subject", "Objet": "subject", "Asunto": "subject"}.get(m[1], "date")
+            if not got[name]:
+                k, got[name] = name, m[2].strip()
     subject = re.sub(r"(?i)^(?:(?:re|fw|fwd|aw|wg|tr|rv)\s*:\s*)+", "", got["subject"])
     return _address(got["from"]), normal(subject), got["date"]
 
@@ -281,7 +319,7 @@ def _time(date: str) -> int | None:
     return calendar.timegm(d.utctimetuple())
 
 
-UNIT = "extraction_id bigint, seq int, kind string, text string, ends int, norm string, fp bigint, sender string, subject string, sent bigint"
+UNIT = "extraction_id bigint, seq int, kind string, text string, ends int, place int, norm string, fp bigint, bones string, bones_fp bigint, sender string, subject string, sent bigint"
 
 
 def email_units(extractions: DataFrame) -> DataFrame:
@@ -295,38 +333,47 @@ def email_units(extractions: DataFrame) -> DataFrame:
                     continue
                 sender, subject, date = _head(text)
                 sent = _time(date)
-                for seq, (kind, s, ends) in enumerate(units(text)):
+                for seq, (kind, s, ends, place) in enumerate(units(text)):
                     norm = normal(s)
-                    long = len(norm) >= LEAST_CHARS or kind == "own" and len(norm) >= 5 and _CONTACT.match(s)
-                    fp = simhash(norm) if kind in ("own", "disclaimer") and long else None
-                    rows.append((key, seq, kind, s, ends, norm, fp, sender, subject, sent))
-            cols = list(zip(*rows)) or [[]] * 10
-            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                    long = kind == "own" and (len(norm) >= LEAST_CHARS or len(norm) >= 5 and bool(_CONTACT.match(s)))
+                    bones = skeleton(s) if kind == "own" and place and len(norm) >= LEAST_CHARS else None
+                    rows.append((key, seq, kind, s, ends, place, norm, simhash(norm) if long else None, bones, simhash(bones) if bones else None, sender, subject, sent))
+            cols = list(zip(*rows)) or [[]] * 13
+            types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in UNIT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in UNIT.split(", ")])
 
     mails = extractions.select(F.col("extraction_id").cast("bigint").alias("extraction_id"), "text").where(F.col("text").rlike(r"^\s*(?:<<<PAGE \d+>>>\s*)?(?:From|To|Sent|Date|Von|An|De|À|Para|Gesendet|Subject)\s*:"))
     return spread(mails).mapInArrow(run, UNIT)
 
 
-def _keys(fp):
-    """The ten table keys of a fingerprint column."""
-    part = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << w) - 1)) for at, w in PARTS]
-    return F.array(*[F.xxhash64(F.lit(k), part[i], part[j]) for k, (i, j) in enumerate(TABLES)])
+def _keys(fp, by: list[str]):
+    """The table keys of a fingerprint column within a group."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return F.array(*[F.xxhash64(F.lit(k), fp.bitwiseAND(F.lit(signed(m))), *by) for k, m in enumerate(MASKS)])
 
 
 def _near(units_: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
     """by, norm, k_norm: each distinct text of units_ with every known one that shares a table key and is really near.
 
     Exact copies are one row on either side, so a text that many mails hold costs no more
-    than any other; hot keys are left to the join's handling of skew.
+    than any other.  The tables hold numbers only: keys, fingerprints and texts' ids (a
+    hash; what it confuses is told apart when the texts join the candidates).  Hot keys
+    are left to the join's handling of skew.
     """
     cols = [*by, "norm", "fp"]
-    keyed = lambda x: x.select(cols).distinct().withColumn("key", F.explode(_keys(F.col("fp")))).drop("fp")
-    j = keyed(units_).join(keyed(known).withColumnRenamed("norm", "k_norm"), [*by, "key"])
+    one = lambda x: x.select(cols).distinct().withColumn("uid", F.xxhash64(*by, "norm"))
+    a, b = one(units_), one(known)
+    keyed = lambda x: x.select("uid", "fp", F.explode(_keys(F.col("fp"), by)).alias("key"))
+    k = keyed(b).select("key", F.col("uid").alias("k_uid"), F.col("fp").alias("k_fp"))
+    cand = keyed(a).join(k, "key").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("k_fp"))) <= FAR).select("uid", "k_uid").distinct()
+    text = b.select(*[F.col(c).alias("k_" + c) for c in by], F.col("uid").alias("k_uid"), F.col("norm").alias("k_norm"))
+    pairs = cand.join(a.drop("fp"), "uid").join(text, "k_uid").drop("uid", "k_uid")
+    for c in by:
+        pairs = pairs.where(F.col(c) == F.col("k_" + c)).drop("k_" + c)
     # The edit distance is computed in the engine, cut off where it is too large anyway.
     most = F.greatest(F.lit(2), (F.length("norm") * 0.15).cast("int"))
-    pairs = j.where(F.abs(F.length("norm") - F.length("k_norm")) <= most).select(*by, "norm", "k_norm").distinct()
-    return pairs.where((F.col("norm") == F.col("k_norm")) | (F.levenshtein(F.col("norm"), F.col("k_norm")) <= most))
+    pairs = pairs.where(F.abs(F.length("norm") - F.length("k_norm")) <= most)
+    return pairs.where((F.col("norm") == F.col("k_norm")) | (F.levenshtein(F.col("norm"), F.col("k_norm")) <= most)).select(*by, "norm", "k_norm")
 
 
 def _first_two(known: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -342,11 +389,15 @@ def _first_two(known: DataFrame, by: list[str], order: str) -> DataFrame:
 def judged(extractions: DataFrame) -> DataFrame:
     """The units with their final kind ('quoted', 'signature', 'disclaimer', 'own')."""
     u = staged(email_units(extractions))
-    # A notice seen in a mail teaches its wording; other mails' near-matches at a paragraph of their own are notices.
-    full = u.where(f"fp is not null and length(norm) >= {LEAST_CHARS}")
-    notices = full.where("kind = 'disclaimer'")
-    own = full.where("kind = 'own'")
-    as_notice = own.join(_near(own, notices, []).select("norm").distinct(), "norm").select("extraction_id", "seq").distinct().withColumn("notice", F.lit(True))
+    own = u.where(f"kind = 'own' and fp is not null and length(norm) >= {LEAST_CHARS}")
+    # What mails by two senders or more have behind their sign-off, in this or a near form, is a notice; where
+    # nobody has signed off, it is one at the mail's end.
+    ends = u.where("bones is not null and sender <> ''").select("extraction_id", "seq", "place", "sender", F.col("bones").alias("norm"), F.col("bones_fp").alias("fp"))
+    behind = ends.where("place = 2")
+    alike = staged(_near(ends, behind, []))
+    said = _first_two(behind.withColumn("place", F.col("extraction_id")), ["norm"], "place")
+    by = alike.join(said.withColumnRenamed("norm", "k_norm"), "k_norm").groupBy("norm").agg(F.min("k_sender").alias("one"), F.max("k_sender").alias("two"))
+    as_notice = ends.join(by, "norm").where("if(place = 2, one <> two, one <> two or one <> sender)").select("extraction_id", "seq").distinct().withColumn("notice", F.lit(True))
     # Sentences of the same exchange that somebody else wrote in an earlier mail.
     named = own.where("subject <> '' and sender <> ''")
     # By date, extraction_id for ties; where either mail has no date, by extraction_id.
