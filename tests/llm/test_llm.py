@@ -321,14 +321,15 @@ def editor():
     import pyarrow.parquet as pq
 
     texts = [t for t in pq.read_table("/root/testdata/sf0.01/extraction_results.parquet", columns=["text"]).column(0).to_pylist() if t]
-    n, calm = np.zeros(scan_noise.SLOTS, np.int32), np.zeros(scan_noise.SLOTS, np.int32)
+    n: dict[str, list[int]] = {}
     for t in texts:
         for x in t.split():
             if w := x.strip(scan_noise._EDGE):
-                n[scan_noise._slot(w)] += 1
-                calm[scan_noise._slot(w)] += scan_noise.quiet(t)
+                c = n.setdefault(w, [0, 0])
+                c[0] += 1
+                c[1] += scan_noise.quiet(t)
     clean = sorted((t for t in texts if scan_noise.quiet(t)), key=lambda t: zlib.crc32(t.encode()))[:150]
-    return scan_noise.train(n, calm, clean)
+    return scan_noise.train({w: tuple(c) for w, c in n.items()}, sum(c[1] for c in n.values()) / sum(c[0] for c in n.values()), clean)
 
 
 def test_each_defect(editor):
@@ -350,13 +351,11 @@ def test_clean_texts_have_no_defect(editor):
 
 
 def test_a_misread_word_is_found_however_often_it_stands(editor):
-    ed = scan_noise.Editor(editor.n.copy(), editor.calm)
+    ed = scan_noise.Editor(editor.n, editor.share)
     ed.chars, ed.joins, ed.lines = editor.chars, editor.joins, editor.lines
     text = "The letter frorn the insurer denied the claim."
     for times in (1, 20, 450):  # a corpus that grows in all its words
-        ed.n = editor.n * times
-        ed.n[scan_noise._slot("frorn")] = 2 * times
-        ed.calm = editor.calm * times
+        ed.n = {w: (n * times, c * times) for w, (n, c) in editor.n.items()} | {"frorn": (2 * times, 0)}
         ed._known = {}
         assert scan_noise.analyse(text, ed)[0] == {"misread"}
 
@@ -365,7 +364,23 @@ def test_copies_of_a_text_count_once(spark):
     texts = [f"The letter frorn the insurer of house {k} denied the claim." for k in range(4)] + ["A letter from the insurer paid the claim."]
     once = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "extraction_id bigint, text string")
     many = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:1] * 600)], "extraction_id bigint, text string")
-    assert (scan_noise.trained(once).n == scan_noise.trained(many).n).all()
+    assert scan_noise.trained(once).n == scan_noise.trained(many).n
+    texts_ = once.select("text")
+    n, share = scan_noise.corpus_counts(texts_)
+    assert n["insurer"] == (5, 0) and n["frorn"] == (4, 0) and share == 0
+    few, _ = scan_noise.corpus_counts(texts_, 5)  # only as many of the most frequent words as the bound allows
+    assert len(few) <= 5 and all(few[w] == n[w] for w in few) and min(c for c, _ in few.values()) > max(c for w, (c, _) in n.items() if w not in few)
+
+
+def test_a_misread_header_is_held_against_the_headers_of_far_pages(editor):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(3, 9)))
+    line = lambda: " ".join(word() for _ in range(9)).capitalize() + "."
+    pages = [(["Harbor Roofing v. Bell Transport"] if k < 2 else ["Harbor Roofinq v. Be1l Transport"] if k == 29 else []) + [line() for _ in range(7)] for k in range(30)]
+    text = "".join(f"<<<PAGE {k}>>>\n" + "\n".join(x) + "\n" for k, x in enumerate(pages, 1))
+    like = {text[s:e]: v for s, e, _, _, v, _ in scan_noise.frame(text)}
+    assert like["Harbor Roofinq v. Be1l Transport"] > 0.8
+    assert {text[s:e] for s, e, *_ in scan_noise.frame(text, 3)} > {text[s:e] for s, e, *_ in scan_noise.frame(text)}
 
 
 # -- p6, p7 ----------------------------------------------------------------------
