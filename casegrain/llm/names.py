@@ -247,7 +247,7 @@ def log_likelihood(v: dict, c: dict) -> float | None:
     """log P(v | c): the slips, short forms and omissions that make c into v; None if they can't be one party."""
     if v["kind"] != c["kind"]:
         return None
-    most = 1 if min(len(v["core"]), len(c["core"])) < 6 else 2 if min(len(v["core"]), len(c["core"])) < 10 else 3
+    most = most_edits(len(v["core"]), len(c["core"]))
     d = osa(v["core"], c["core"], most)
     if d > most:
         return None
@@ -302,12 +302,40 @@ def forms(names: DataFrame) -> DataFrame:
     return names.mapInArrow(run, f"name string, n bigint, {FORM}")
 
 
-def _deletions(w: str) -> set[str]:
-    """What is left of a word after up to two (in short words one) characters fall out."""
-    one = {w[:i] + w[i + 1 :] for i in range(len(w))}
-    if len(w) < 6:
-        return {w} | one
-    return {w} | one | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}
+def most_edits(a: int, b: int) -> int:
+    """Edits that two core words of these lengths may differ in."""
+    m = min(a, b)
+    return 1 if m < 6 else 2 if m < 10 else 3
+
+
+#: Longer words are cut into parts instead, as what is left of them after deletions grows with the cube of their length.
+LONG = 20
+
+
+def _keys(w: str) -> set[str]:
+    """Keys of a word such that words within the allowed edits share one.
+
+    What is left after as many characters fall out as the word's length allows edits;
+    of a long word, parts: of four parts of a word at least one is untouched by three
+    edits, and stands in the other word at most three places away.
+    """
+    n = len(w)
+    if n > LONG - 3:
+        out = set()
+        for length in range(n - 3, n + 4):
+            cuts = [length * k // 4 for k in range(5)]
+            for k in range(4):
+                size = cuts[k + 1] - cuts[k]
+                out |= {f"{length} {k} {w[at : at + size]}" for at in range(max(0, cuts[k] - 3), min(n - size, cuts[k] + 3) + 1)}
+        if n > LONG:
+            return out
+    else:
+        out = set()
+    level = {w}
+    for _ in range(most_edits(n, n)):
+        out |= level
+        level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
+    return out | level
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -315,15 +343,12 @@ def near_words(words: DataFrame) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, k) for w in b.column(0).to_pylist() for k in _deletions(w)]
+            rows = [(w, k) for w in b.column(0).to_pylist() for k in _keys(w)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["core", "key"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                m = min(len(x), len(y))
-                keep.append(osa(x, y, 1 if m < 6 else 2 if m < 10 else 3) <= (1 if m < 6 else 2 if m < 10 else 3))
+            keep = [osa(x, y, m) <= m for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in (most_edits(len(x), len(y)),)]
             yield b.filter(pa.array(keep))
 
     keys = spread(words).mapInArrow(explode, "core string, key string").withColumn("h", F.xxhash64("key")).select("core", "h")

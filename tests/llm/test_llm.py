@@ -42,12 +42,13 @@ def test_names_of_nobody(spark):
 
 def test_near_words_equal_all_pairs(spark):
     r = random.Random(2)
-    base = ["".join(r.choice("abcdef") for _ in range(r.randint(4, 9))) for _ in range(60)]
-    words = sorted({w for w in base} | {w[:2] + w[3:] for w in base} | {w[:1] + "x" + w[1:] for w in base})
+    base = ["".join(r.choice("abcdef") for _ in range(r.randint(4, 28))) for _ in range(70)] + ["z" * 3000]
+    slip = lambda w: w[: (k := r.randrange(len(w)))] + r.choice(["", "x", "yy"]) + w[k + 1 :]
+    words = sorted(set(base) | {slip(w) for w in base} | {slip(slip(slip(w))) for w in base})
     d = spark.createDataFrame([(w,) for w in words], "core string")
     got = {tuple(x) for x in names.near_words(d).collect()}
-    want = {(a, b) for a in words for b in words if a == b or names.osa(a, b, 1 if min(len(a), len(b)) < 6 else 2) <= (1 if min(len(a), len(b)) < 6 else 2)}
-    assert want <= got
+    want = {(a, b) for a in words for b in words if names.osa(a, b, m := names.most_edits(len(a), len(b))) <= m}
+    assert want == got
 
 
 # -- p2 ------------------------------------------------------------------------
