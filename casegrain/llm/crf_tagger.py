@@ -30,6 +30,8 @@ VOCAB = 135
 #: Characters of a step; windows and overlaps are multiples of it.
 STEP = 4
 WINDOW, OVERLAP = 384, 24
+#: Texts whose paths are stepped through together.
+TOGETHER = 256
 
 
 @lru_cache(maxsize=8192)
@@ -284,7 +286,7 @@ def _windows(n: int) -> list[int]:
 _EDGE = np.minimum(np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1, OVERLAP).astype(np.float32) / OVERLAP
 
 
-def decode(p: dict | Runner, texts: list[str], batch: int = 32) -> list[list[tuple[int, int, str]]]:
+def decode(p: dict | Runner, texts: list[str], batch: int = 16) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) of each text.  Empty texts have none; a text of any length is decoded whole."""
     run = p if isinstance(p, Runner) else Runner(p)
     size = [len(t) for t in texts]
@@ -321,63 +323,14 @@ def decode(p: dict | Runner, texts: list[str], batch: int = 32) -> list[list[tup
 
 
 def viterbi(E: np.ndarray, first: np.ndarray, T: np.ndarray) -> np.ndarray:
-    """Best tag paths of texts whose emissions stand one behind the other, from first[k] to first[k + 1].
-
-    Most of a text is settled beforehand.  In a run of characters at each of which O leads
-    every other tag by more than g, what a step between two other tags gains over one
-    between two O, a path that leaves O and comes back loses.  One that comes from outside
-    the run, or goes on behind it, loses the leads in between, less g each; at a character
-    with more of them on either side than entering and leaving can gain (behind the run
-    its span would have to begin there, which its emissions may speak against), every
-    best path has O.  The paths between such characters are found apart from each other.
-    """
-    best = np.zeros(len(E), np.uint8)
-    if not len(E):
-        return best
-    can = T > -1e3
-    g = max(0.0, float(T[1:, 1:].max() - T[0, 0]), float(T[0, 1:].max() + T[1:, 0].max() - 2 * T[0, 0]))
-    enter = float(np.where(can, T - T[:, :1], -np.inf)[:, 1:].max())
-    leave = float((T[1:, : N + 1] - T[:1, : N + 1]).max())
-    late = float(T[1:, N + 1 :].max() - T[0, 1 : N + 1].min() + np.where(can[N + 1 :], T[N + 1 :] - np.where(can[1 : N + 1], T[1 : N + 1], -1e3), -np.inf)[:, : N + 1].max())
-    late = max(late, float(T[1:, N + 1 :].max() - T[0, 1 : N + 1].min() + (np.diagonal(T[N + 1 :, N + 1 :]) - np.diagonal(T[1 : N + 1, N + 1 :])).max()))
-    lead = E[:, 0] - np.maximum.reduce([E[:, k] for k in range(1, K)]) - g
-    ok = lead > 0
-    sums = np.cumsum(np.where(ok, lead, 0.0))
-    bound = np.zeros(len(E) + 1, bool)
-    bound[first[first <= len(E)]] = True
-    ok_before = np.r_[False, ok[:-1]] & ~bound[:-1]
-    start = np.flatnonzero(ok & ~ok_before)
-    end = np.flatnonzero(ok & ~(np.r_[ok[1:], False] & ~bound[1:]))
-    of = np.cumsum(ok & ~ok_before) - 1
-    left = sums - np.where(start > 0, sums[start - 1], 0.0)[of] if len(start) else sums
-    right = sums[end][of] - sums + np.where(ok, lead, 0.0) if len(start) else sums
-    if len(start):
-        behind = np.minimum(end + 1, len(E) - 1)
-        edge = (enter + g + 1e-3 + np.maximum(leave, late + (E[behind, N + 1 :] - E[behind, 1 : N + 1]).max(1)))[of]
-    else:
-        edge = np.inf
-    sure = ok & (left > edge) & (right > edge)
-    open_ = np.flatnonzero(~sure)
-    if not len(open_):
-        return best
-    text = np.searchsorted(first, open_, side="right")
-    new = np.flatnonzero(np.r_[True, (np.diff(open_) > 1) | (np.diff(text) > 0)])
-    starts, ends = open_[new], open_[np.r_[new[1:] - 1, len(open_) - 1]] + 1
-    edges = set(first.tolist())
-    pieces = []
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        e = E[a:b].copy()
-        if a not in edges:
-            e[0] += T[best[a - 1]]
-        if b not in edges:
-            e[-1] += T[:, best[b]]
-        pieces.append((a, e))
-    pieces.sort(key=lambda x: -len(x[1]))
-    for k in range(0, len(pieces), 512):
-        part = pieces[k : k + 512]
-        for (a, _), path in zip(part, _viterbi([e for _, e in part], T)):
-            best[a : a + len(path)] = path
-    return best
+    """Best tag paths of texts whose emissions stand one behind the other, from first[k] to first[k + 1]."""
+    out = np.zeros(len(E), np.uint8)
+    spans = sorted(((int(a), int(b)) for a, b in zip(first, first[1:]) if a < b), key=lambda x: x[0] - x[1])
+    for k in range(0, len(spans), TOGETHER):
+        part = spans[k : k + TOGETHER]
+        for (a, b), path in zip(part, _viterbi([E[a:b] for a, b in part], T)):
+            out[a:b] = path
+    return out
 
 
 def settled(T: np.ndarray) -> np.ndarray:

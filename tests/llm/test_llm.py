@@ -268,7 +268,7 @@ def test_viterbi_equals_all_paths():
         assert tuple(crf_tagger._viterbi([e], t)[0]) == best
 
 
-def test_what_is_settled_beforehand_is_on_the_best_path():
+def test_texts_stepped_through_together_have_their_own_paths():
     r = np.random.default_rng(2)
     for _ in range(200):
         first = np.cumsum([0, *r.integers(0, 40, 5)])
