@@ -871,6 +871,33 @@ def claims_graph(spark, d):
     return cg.project(cg.parse(raw, "case_id", "raw"), "case_id")
 
 
+@_query(
+    """SELECT hit_id, CASE WHEN hit_id % 11 = 0 THEN 'missing' WHEN hit_id % 7 = 0 OR hit_id % 5 = 0 THEN 'not ready' WHEN hit_id % 3 = 0 OR coalesce(case_id, '') = '' THEN 'revision' WHEN hit_id % 2 = 0 THEN 'hash' ELSE 'ok' END AS state FROM conflict_hits"""
+)
+def claims_handoff(spark, d):
+    """Claims against graphs made of them with planted differences."""
+    from ..operators import claims_graph as cg
+
+    sha = F.sha2(F.concat_ws("|", "queried_name", "matched_name").cast("binary"), 256)
+    k = F.col("hit_id")
+    c = table(spark, d, "conflict_hits").select("hit_id", F.col("case_id").alias("revision"), sha.alias("sha"))
+    g = c.where(k % 11 != 0).select("hit_id", (k % 7 != 0).alias("ready"), F.when(k % 5 == 0, "1.3.1").otherwise("1.10.0").alias("writer"), F.when(k % 3 == 0, "other").otherwise(F.col("revision")).alias("revision"), F.when(k % 2 == 0, "x").otherwise(F.upper("sha")).alias("sha"))
+    return cg.handoff(c, g, "hit_id")
+
+
+@_query(
+    """SELECT case_id, 'e' || hit_id AS edge, CAST(hit_id AS VARCHAR) AS from_node, CAST(hit_id + 1 AS VARCHAR) AS to_node, 'supports' AS kind, CASE WHEN hit_id % 4 = 0 THEN 'VALIDATED' ELSE 'UNVERIFIED' END AS status FROM conflict_hits"""
+)
+def claims_edges(spark, d):
+    """Edges of claim graphs made of the hits, read back from JSON."""
+    from ..operators import claims_graph as cg
+
+    k = F.col("hit_id")
+    edge = F.struct(F.concat(F.lit("e"), k.cast("string")).alias("id"), k.cast("string").alias("fromNodeId"), (k + 1).cast("string").alias("toNodeId"), F.lit("supports").alias("kind"), F.when(k % 4 == 0, "[[[]]]").otherwise("unheard of").alias("bracket"))
+    raw = table(spark, d, "conflict_hits").select("case_id", F.to_json(F.struct(F.array(edge).alias("edges"))).alias("raw"))
+    return cg.edges(cg.parse(raw, "case_id", "raw"), "case_id")
+
+
 @_query(
     f"""WITH {_POSTURE}, {_FINDINGS}, {_ALL_POINTS}, {_DOCS}, d AS (SELECT case_id, file_id, rank, role, row_number() OVER (PARTITION BY case_id ORDER BY rank, file_id) AS r FROM roles WHERE case_id IS NOT NULL),
 tops_ AS (SELECT case_id, doc, value, row_number() OVER (PARTITION BY case_id ORDER BY pressure DESC, hits DESC, doc, value) AS r FROM mixes JOIN docs USING (doc) QUALIFY r <= 8)

@@ -140,6 +140,21 @@ def eml_text(data: bytes) -> str:
     return "\n".join([*head, *files, *out[6:]]).strip()
 
 
+def msg_text(data: bytes) -> str:
+    """Headers, names of attachments and body of an Outlook message."""
+    try:
+        import extract_msg
+    except ImportError:
+        raise ValueError("no Outlook reader is installed") from None
+    m = extract_msg.openMsg(data)
+    try:
+        head = [f"{n}: {v or ''}" for n, v in (("From", m.sender), ("To", m.to), ("Cc", m.cc), ("Date", m.date), ("Subject", m.subject))]
+        names = [getattr(a, "longFilename", None) or getattr(a, "shortFilename", None) or "unnamed" for a in m.attachments]
+        return "\n".join([*head, *(f"Attachment: {n}" for n in names), "", m.body or ""])
+    finally:
+        m.close()
+
+
 def pdf_text(data: bytes, scan: Callable[[bytes, int], str] | None) -> tuple[str, int, int]:
     """Text by page with page markers, pages, and how many of them only a scan reads."""
     try:
@@ -178,6 +193,8 @@ def read_bytes(name: str, data: bytes, scan: Callable[[bytes, int], str] | None
             return rtf_text(data.decode("latin-1")), "rtf", 0, 0, None
         if ext == "eml":
             return eml_text(data), "eml", 0, 0, None
+        if ext == "msg":
+            return msg_text(data), "msg", 0, 0, None
         if ext == "pdf":
             text, n, s = pdf_text(data, scan)
             return text, "pdf-text+scan" if s else "pdf-text", n, s, None
@@ -247,6 +264,22 @@ def read_documents(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     return raw.where("_bad is null").drop("_bad")
 
 
+PACK = "schema_version int, id string, label string, source_url string, rules array<struct<type:string,code:string,severity:string,pattern:string,field:string,applies_to:array<string>,message:string,authority:string>>"
+
+
 def rules_of(packs: DataFrame) -> DataFrame:
-    """pack, code, type, severity, pattern of rule packs (id, rules): what ledger.rule_findings takes, after a collect of the few rules."""
-    return packs.select(F.col("id").alias("pack"), F.explode("rules").alias("r")).select("pack", "r.code", "r.type", "r.severity", "r.pattern")
+    """pack, type, code, severity, pattern (or field), applies_to, authority of rule packs, packs by label.
+
+    A rule without kinds of paper applies to all.  Only packs of schema 1 count.
+    """
+    r = packs.where("schema_version = 1").select("label", F.col("id").alias("pack"), F.posexplode("rules").alias("n", "r")).orderBy("label", "n")
+    kinds = F.coalesce(F.transform("r.applies_to", lambda k: F.lower(k)), F.array(F.lit("*")))
+    return r.select("pack", "r.type", "r.code", F.coalesce("r.severity", F.lit("warning")).alias("severity"), F.coalesce("r.pattern", "r.field").alias("pattern"), kinds.alias("applies_to"), F.coalesce("r.authority", F.lit("")).alias("authority"))
+
+
+def load_rules(packs: DataFrame) -> dict[str, list[tuple]]:
+    """Rules by pack, as ledger.rule_findings takes them; packs are few and small files that people write."""
+    out: dict[str, list[tuple]] = {}
+    for r in rules_of(packs).collect():
+        out.setdefault(r["pack"], []).append((r["type"], r["code"], r["severity"], r["pattern"], list(r["applies_to"]), r["authority"]))
+    return out

@@ -522,3 +522,24 @@ def test_a_kept_head_tells_what_was_changed(spark):
     kept = spark.createDataFrame([("a", 1, "h1"), ("b", 2, "k2"), ("d", 1, "other")], "k string, anchor_seq int, anchor_stamp string")
     got = ledger.chain_state(log, ["k"], "s", "stamp", ledger.chain_breaks(log, ["k"], "s", "stamp", "prev"), kept)
     assert {r["k"]: r["state"] for r in got.collect()} == {"a": "extended", "b": "mismatch", "d": "mismatch"}
+
+
+def test_rule_packs_are_read_from_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps({"schema_version": 1, "id": "X-1", "label": "X", "rules": [{"type": "forbidden_pattern", "code": "NO", "severity": "error", "pattern": "secret"}, {"type": "metadata_required", "code": "M", "field": "county", "applies_to": ["Complaint"]}]}, indent=1))
+    (tmp_path / "b.json").write_text("not json")
+    rules = readers.load_rules(readers.read_documents(spark, str(tmp_path / "*.json"), readers.PACK))
+    assert rules == {"X-1": [("forbidden_pattern", "NO", "error", "secret", ["*"], ""), ("metadata_required", "M", "warning", "county", ["complaint"], "")]}
+    d = spark.createDataFrame([(1, "a Secret", "complaint"), (2, "open", "order")], "id int, text string, kind string")
+    assert rows(ledger.rule_findings(d, "id", "X-1", kind="kind", rules=rules["X-1"]).select("id", "code")) == [(1, "M"), (1, "NO")]
+
+
+def test_claim_graphs_and_their_handoff(spark):
+    from casegrain.operators import claims_graph as cg
+
+    c = spark.createDataFrame([(1, "r", "AB"), (2, "r", "ab"), (3, None, "x"), (4, "r", None), (5, "r", "q")], "k int, revision string, sha string")
+    g = spark.createDataFrame([(1, True, "1.3.2", "r", "ab"), (2, True, "1.3.1", "r", "ab"), (3, True, "2.0", None, "x"), (4, True, "2.0", "r", None)], "k int, ready boolean, writer string, revision string, sha string")
+    assert {r["k"]: r["state"] for r in cg.handoff(c, g, "k").collect()} == {1: "ok", 2: "not ready", 3: "revision", 4: "hash", 5: "missing"}
+    raw = spark.createDataFrame([("c", '{"edges": [{"id": "e", "fromNodeId": "a", "toNodeId": "b", "bracket": "{[]}"}]}'), ("d", "bad")], "k string, raw string")
+    assert rows(cg.edges(cg.parse(raw, "k", "raw"), "k")) == [("c", "e", "a", "b", None, "EXPLAINED")]
