@@ -406,10 +406,25 @@ def test_ids_of_null_and_empty(spark):
 def test_splitting_is_exact():
     n = np.array([5, 0, 130, 17])
     for k in (1, 2, 3, 7, 64):
-        c = mixture.split_counts(n, k, np.random.default_rng(1))
+        c = mixture.split_counts(n, k, 1)
         assert (c.sum(0) == n).all() and (c >= 0).all() and c.sum(1).max() - c.sum(1).min() <= 7
 
 
+def test_blocks_walk_down_the_tree_to_their_shards():
+    n = np.array([5, 0, 130, 17, 1])
+    source = np.repeat(np.arange(5), n)
+    place = np.concatenate([np.arange(k) for k in n])
+    for k in (1, 2, 7, 64, 1000):
+        got = mixture.Tree(n, k, 3).shard_of(source, place)
+        want = mixture.split_counts(n, k, 3)
+        assert all((np.bincount(got[source == s], minlength=k) == want[:, s]).all() for s in range(5))
+    for m in (1, 2, 3, 100, 4097):
+        x = np.arange(m)
+        for key in (0, 1, 7):
+            y = mixture.permuted(x, np.full(m, m), np.full(m, key))
+            assert sorted(y) == list(range(m)) and (m < 100 or (y != x).mean() > 0.9)
+
+
 def test_mixture_holds_shares_and_repeats(spark):
     r = random.Random(5)
     docs = [(k, "word " * r.randint(1, 40), "big") for k in range(3000)] + [(10_000 + k, "word " * r.randint(1, 40), "small") for k in range(200)] + [(1, None, "big"), (2, "", "small"), (3, "x", None), (4, "x", "unlisted")]
