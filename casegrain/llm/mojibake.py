@@ -6,7 +6,8 @@ what is sent to the driver grows with the data.  For each field every candidate
 encode-decode chain is applied, wherever it fits, and scored; chains between old
 encodings are applied to the passages that they make likelier.  The likeliest is taken
 if it beats the text as it stands by a margin.  The margin is validated: it is set
-above what any chain gains on clean records whose own counts are left out of the model.
+above what any chain gains on the clean records, all of them, each scored by the model
+without its own counts.
 Chains are repeated, since text may have been garbled twice.
 """
 
@@ -16,6 +17,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from ..io import spread, staged
 
 UNI, BI, TRI = 1 << 15, 1 << 17, 1 << 19
-#: One in so many records is held out to validate the margin, and how many at most.
-HELD_SHARE, HELD_OUT = 10, 1500
 LEAST_MARGIN = 4.0
+#: Ranges that figures are counted in at a time to find a quantile.
+CELLS = 4096
 
 # Encodings that text is wrongly read with, and those it was written in.
 WRONG = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859-2", "iso8859-15", "cp1254", "cp1253", "koi8-r", "cp866", "iso8859-7", "cp1257", "cp852"]
@@ -159,6 +161,12 @@ def _slots(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _uni(a), _bi(a[:-1], a[1:]), _tri(a[:-2], a[1:-1], a[2:])
 
 
+def _own_slots(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table places of what a text counts: its characters and two blanks behind it, each with what stands before it."""
+    x, y, z = _slots(_codes(text + "  "))
+    return x[2:], y[1:], z
+
+
 def _uni(a: np.ndarray) -> np.ndarray:
     return (a * 40503 + (a >> 7)) % UNI
 
@@ -174,12 +182,12 @@ def _tri(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     u, b, t = np.zeros(UNI, np.int64), np.zeros(BI, np.int64), np.zeros(TRI, np.int64)
     k = 0
-    while k < len(texts):  # many texts at once, parted as a text's start is
+    while k < len(texts):  # many texts at once, parted as a text's start is; what a text counts doesn't depend on its neighbours
         n, size = k, 0
         while n < len(texts) and size < 1_000_000:
             size += len(texts[n])
             n += 1
-        x, y, z = _slots(_codes("  ".join(texts[k:n])))
+        x, y, z = _own_slots("  ".join(texts[k:n]))
         u += np.bincount(x, minlength=UNI)
         b += np.bincount(y, minlength=BI)
         t += np.bincount(z, minlength=TRI)
@@ -214,6 +222,21 @@ class Model:
         p3 = (self.t[_tri(x, y, z)] + 4 * p2) / (self.b[_bi(x, y)] + 4)
         return np.log(np.minimum(p3, 1.0) + 1e-12)
 
+    @contextmanager
+    def without(self, text: str) -> Iterator[Model]:
+        """The model as if a text that it was trained on had not been among its texts."""
+        n, kept = self.n, []
+        for table, at in zip((self.u, self.b, self.t), _own_slots(text)):
+            kept.append((table, at, table[at]))
+            np.subtract.at(table, at, np.float32(1))
+        self.n -= len(text) + 2
+        try:
+            yield self
+        finally:
+            for table, at, x in kept:
+                table[at] = x
+            self.n = n
+
     def score(self, text: str) -> float:
         return float(self.log_probs(text).sum())
 
@@ -394,35 +417,53 @@ def _tables(rows: DataFrame) -> list[np.ndarray]:
     return tables
 
 
+def _ranked(figures: DataFrame, name: str, share: float) -> float:
+    """The quantile of a column of figures, rounded down to one of them; exact whatever their number.
+
+    They are counted in ranges, then those of the range that holds it in finer ones.
+    """
+    low, high, n = figures.agg(F.min(name), F.max(name), F.count(name)).first()
+    rank = int(share * (n - 1))
+    while low < high:
+        figures = figures.where(F.col(name).between(low, high))
+        cell = F.least(F.floor((F.col(name) - low) / (high - low) * CELLS), F.lit(CELLS - 1))
+        for r in figures.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(name).alias("low"), F.max(name).alias("high")).orderBy("cell").collect():
+            if rank < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return float(low)
+
+
 def train(rows: DataFrame) -> tuple[Model, float, float]:
     """Model, margin and the mean log probability above which a text is natural, from all rows of a column named text.
 
-    A tenth of the clean records, at most HELD_OUT, validates the margin: whole, in the
-    executors, and by a model without their counts.
+    Every clean record validates the margin, whole, in the executors, by a model without
+    its counts.
     """
     rows = staged(rows.where("text rlike '[^\\\\x00-\\\\x7f]'").distinct())  # copies teach once; plain ASCII teaches nothing
     tables = _tables(rows)
-    held = staged(rows.where(F.pmod(F.xxhash64(F.lit("held"), "text"), F.lit(HELD_SHARE)) == 0).orderBy(F.xxhash64("text"), "text").limit(HELD_OUT))
-    rest = [x - y for x, y in zip(tables, _tables(held))]
-    shared = rows.sparkSession.sparkContext.broadcast([x.astype(np.int32) if x.max(initial=0) < 2**31 else x for x in rest])  # 2.8 MB, whatever the input
+    shared = rows.sparkSession.sparkContext.broadcast([x.astype(np.int32) if x.max(initial=0) < 2**31 else x for x in tables])  # 2.8 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for b in batches:
             means, gains = [], []
             for t in b.column(0).to_pylist():
-                if looks_clean(t) and not t.isascii():
-                    means.append(float(m.high_log_probs(t).mean()))
-                    base = m.score(t)
-                    gains.append(max((m.score(s) - base for s in candidates(t).values()), default=0.0))
+                if not t.isascii() and looks_clean(t):
+                    got = candidates(t)
+                    with m.without(t):
+                        means.append(float(m.high_log_probs(t).mean()))
+                        base = m.score(t) if got else 0.0
+                        gains.append(max((m.score(s) - base for s in got.values()), default=0.0))
             yield pa.RecordBatch.from_arrays([pa.array(means, pa.float64()), pa.array(gains, pa.float64())], names=["mean", "gain"])
 
-    got = spread(held).mapInArrow(run, "mean double, gain double").toArrow()
+    got = staged(spread(rows).mapInArrow(run, "mean double, gain double"))
     model = Model(*tables)
-    if not got.num_rows:
+    if got.isEmpty():
         return model, LEAST_MARGIN, -1e9
-    natural = float(np.quantile(got.column("mean").to_numpy(), 0.05)) - 0.5
-    return model, max(LEAST_MARGIN, float(np.quantile(got.column("gain").to_numpy(), 0.999)) * 1.2), natural
+    natural = _ranked(got, "mean", 0.05) - 0.5
+    return model, max(LEAST_MARGIN, _ranked(got, "gain", 0.999) * 1.2), natural
 
 
 def restore(tables: list[tuple[DataFrame, str, str, list[str]]]) -> DataFrame:

@@ -95,6 +95,33 @@ def test_copies_teach_the_model_once(spark):
     assert (a.t == b.t).all() and (a.u == b.u).all()
 
 
+def test_every_clean_record_validates_the_margin_without_its_own_counts(spark):
+    many = [f"Le délai n° {i:x} a été prorogé jusqu'à l'été; l'expert a relevé {i % 97} dégâts." for i in range(20_000)]
+    few = ["Страховщик отказал в выплате.", "Der Kläger prüft.", "評価は終わった。"]
+    m = mojibake.Model(*mojibake.counts(many[:40] + few))
+    for t in few:
+        rest = mojibake.Model(*mojibake.counts(many[:40] + [x for x in few if x != t]))
+        before = [x.copy() for x in (m.u, m.b, m.t)]
+        with m.without(t):
+            assert m.score(t) == rest.score(t) and m.n == rest.n
+        assert all((x == y).all() for x, y in zip(before, (m.u, m.b, m.t)))
+    seen = []
+    ranked = mojibake._ranked
+    try:
+        mojibake._ranked = lambda figures, name, share: (seen.append(figures.count()), ranked(figures, name, share))[1]
+        mojibake.train(spark.createDataFrame([(t,) for t in many], "text string"))
+    finally:
+        mojibake._ranked = ranked
+    assert seen == [20_000, 20_000]  # 1,500 before
+
+
+def test_quantiles_of_many_figures_are_exact(spark):
+    x = np.concatenate([np.random.default_rng(3).normal(-5, 2, 30_000), np.zeros(9_000), [1e9, -1e9, 4.0]])
+    d = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for q in (0.0, 0.05, 0.5, 0.7, 0.999, 1.0):
+        assert mojibake._ranked(d, "x", q) == np.quantile(x, q, method="lower")
+
+
 def test_clean_text_stays(model):
     for t in [None, "", "plain", "Fundação Âge SÃO ÂNGULO", "Ærø Île", "Страховщик отказал в выплате", "評価 x" * 3]:
         assert mojibake.judge(t, model, 4.0, -7.0) == (t, False, [])
