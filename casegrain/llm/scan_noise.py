@@ -11,8 +11,11 @@ Three perceptrons predict operations, each scored against keeping what stands th
 
 They are trained on texts of the corpus that show no noise, with noise added; the
 sample is bounded by SAMPLE_TEXTS, SAMPLE_CHARS and SAMPLE_WORDS.  Their features use
-word counts of all distinct texts of the corpus: exact counts of its WORDS most frequent
-words; a word that is not among them counts as unknown, however large the corpus is.
+exact counts of every word of all distinct texts of the corpus.  As long as it has at
+most WORDS words, their counts are held in memory.  Beyond that only those of the most
+frequent are, and the others are looked up by joins: words that edits can make of each
+other share a key (edit_key), so each word is repaired once, beside all the words that it
+could be, and the texts get the repairs of their words and the counts that they ask for.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from ..io import spread, staged
 from .email_bodies import is_email
 
-#: The most frequent words whose counts are kept: what comes to the driver is bounded.
+#: The most frequent words whose counts are held in memory: what comes to the driver is bounded.
 WORDS = 400_000
+#: Characters of the texts that get the repairs of their words together where not all counts are in memory.
+BLOCK_CHARS = 2_000_000
 #: Texts that train the editors, the longest of them, and the words and compounds drawn from them.
 SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_WORDS, SAMPLE_JOINS = 500, 20_000, 16_000, 8_000
 #: Pages before and after a page whose outer lines are all compared with its own; those of other pages are if they repeat.
@@ -44,6 +49,10 @@ CONFUSIONS = [
 _INVERSE: dict[str, list[str]] = {}
 for _a, _b in CONFUSIONS:
     _INVERSE.setdefault(_a, []).append(_b)
+#: Characters to what they share with all that they are misread as or from: both sides of each confusion come to the same.
+_SHARED = str.maketrans({
+    **dict.fromkeys("lirtf1|!ı", "l"), **dict.fromkeys("nhub863", "ll"), "m": "lll", "d": "cl", **dict.fromkeys("ce€¢", "c"), "w": "vv", "0": "o", **dict.fromkeys("5$", "s"), "@": "a", **dict.fromkeys("q9", "g"),
+})
 # Marks that dirt on a page leaves.
 STRAY = ["~", "|", "·", "^", "`", "¦", "_~", "~.", "^¦~|~", "·~·", "«", "~~|^", "*", "°", "»", "¬", "'", "_", "\\", "¨", "´", "•"]
 _STRAY = re.compile(r"(?<=\s)[~|·^`¦_«»*°¬\\¨´•'.,]{1,6}(?=\s|$)|(?<=^)[~|·^`¦_«°¬\\¨´]{1,6}(?=\s)", re.M)
@@ -52,6 +61,11 @@ _EDGE = "\"'“”‘’«»„()[]{}<>.,;:!?…*_~|`^¦·"
 _HYPHEN = re.compile(r"(\S*?[^\W\d_]+)([-‐‑¬­–])[^\S\n]*\n\s*", re.U)
 
 
+def edit_key(w: str) -> str:
+    """What a word has in common with all that any number of edits, and another case, make of it."""
+    return w.casefold().translate(_SHARED)
+
+
 def words_of(text: str) -> Iterator[str]:
     for t in text.split():
         w = t.strip(_EDGE)
@@ -62,6 +76,10 @@ def words_of(text: str) -> Iterator[str]:
 _NONE = (0, 0)
 
 
+class Unsettled(Exception):
+    """A text needs counts that are not in memory."""
+
+
 class Perceptron:
     """Averaged perceptron over sparse string features."""
 
@@ -93,14 +111,25 @@ def _bucket(x: float) -> str:
 class Editor:
     """The three perceptrons with the word counts they look at."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], share: float):
+    def __init__(self, counts: dict[str, tuple[int, int]], share: float, whole: bool = True):
         self.n = counts  # of all texts, and of those that show no noise
         self.share = share  # of the words that stand in the latter
+        self.whole = whole  # no other word occurs
+        self.looked_up: dict[str, int] = {}
+        self.asked: set[str] = set()  # words whose counts are neither here nor there
         self.chars, self.joins, self.lines = Perceptron(), Perceptron(), Perceptron()
         self._known: dict[str, tuple[str, float] | None] = {}
 
     def count(self, w: str) -> int:
-        return self.n.get(w, _NONE)[0]
+        if self.whole or w in self.n:
+            return self.n.get(w, _NONE)[0]
+        if w not in self.looked_up:
+            self.asked.add(w)
+        return self.looked_up.get(w, 0)
+
+    def settle(self) -> None:
+        if self.asked:
+            raise Unsettled
 
     def established(self, w: str) -> bool:
         """Whether a word stands in texts without noise about as often as words do: it is one, however rare."""
@@ -157,7 +186,7 @@ class Editor:
             parts = [(x, self.fix(x)) for x in w.split("-")]
             if any(f for _, f in parts):
                 out = "-".join(f[0] if f else x for x, f in parts), max(f[1] for _, f in parts if f)
-        elif self._editable(w) and not self.established(w):
+        elif self.whole and self._editable(w) and not self.established(w):  # else all that changes is among the known
             v, sure = w, 0.0
             for _ in range(4):
                 e, s = self.best(v)
@@ -345,6 +374,7 @@ def analyse(text: str | None, ed: Editor, least: float = 0.0) -> tuple[set[str],
             split.append((m.start(1), r.end()))
             if p == m.end():
                 edits.append((m.end(1), m.end(), ""))
+    ed.settle()
     joined = lambda p: any(s <= p < e for s, e in split)
     french = text.count("«") and text.count("«") == text.count("»")
     score = 0.0
@@ -416,6 +446,7 @@ def repair(text: str | None, ed: Editor) -> tuple[str | None, list[str]]:
             paras[-1] = last[:-1] + p if m and r and ed.joins_here(m[1], last[-1], r[0]) else f"{last} {p}"
         else:
             paras.append(p)
+    ed.settle()
     return "\n\n".join(paras), sorted(found)
 
 
@@ -438,6 +469,30 @@ def train(counts: dict[str, tuple[int, int]], share: float, clean: list[str], se
     """The editors, trained on noise added to clean texts."""
     ed = Editor(counts, share)
     r = np.random.default_rng(seed)
+    _train_words(ed, clean, r, rounds)
+    _train_lines(ed, clean, r)
+    return ed
+
+
+class _Asking(Editor):
+    """Trains nothing, but asks for the counts that training asks for; which they are doesn't depend on the counts."""
+
+    def __init__(self):
+        super().__init__({}, 0.0, False)
+
+    def features(self, w: str, edit: tuple[int, str, str] | None) -> list[str]:
+        self._count_any(w) if edit is None else self.count(w[: edit[0]] + edit[2] + w[edit[0] + len(edit[1]) :])
+        return []
+
+
+def asked_in_training(clean: list[str], seed: int = 5, rounds: int = 2) -> set[str]:
+    ed = _Asking()
+    _train_words(ed, clean, np.random.default_rng(seed), rounds)
+    return ed.asked
+
+
+def _train_words(ed: Editor, clean: list[str], r: np.random.Generator, rounds: int) -> None:
+    """The character editor and the line-join editor."""
     words = [w for t in clean for x in t.split() if (w := x.strip(_EDGE)) and ed._editable(w)]
     r.shuffle(words)
     words = words[:SAMPLE_WORDS]
@@ -496,8 +551,6 @@ def train(counts: dict[str, tuple[int, int]], share: float, clean: list[str], se
             if q.score(f) > -1:
                 q.update(f, -1.0)
     q.average()
-    _train_lines(ed, clean, r)
-    return ed
 
 
 def _train_lines(ed: Editor, clean: list[str], r: np.random.Generator) -> None:
@@ -549,12 +602,8 @@ def _train_lines(ed: Editor, clean: list[str], r: np.random.Generator) -> None:
     p.average()
 
 
-def corpus_counts(texts: DataFrame, most: int = WORDS) -> tuple[dict[str, tuple[int, int]], float]:
-    """Counts of the words of a column named text, in all texts and in those without noise, and the share of the latter.
-
-    Words are counted in the executors; those come to the driver that are so frequent
-    that at most so many of them are.
-    """
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, n, calm: counts of the words of a column named text, in all texts and in those without noise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -575,7 +624,11 @@ def corpus_counts(texts: DataFrame, most: int = WORDS) -> tuple[dict[str, tuple[
                             c[1] += k * calm
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([c[0] for c in n.values()], pa.int64()), pa.array([c[1] for c in n.values()], pa.int64())], names=["word", "n", "calm"])
 
-    words = staged(spread(texts).mapInArrow(run, "word string, n bigint, calm bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("calm").alias("calm")))
+    return staged(spread(texts).mapInArrow(run, "word string, n bigint, calm bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("calm").alias("calm")))
+
+
+def frequent(words: DataFrame, most: int = WORDS) -> tuple[dict[str, tuple[int, int]], float, bool]:
+    """Counts of the words that are so frequent that at most so many of them are, the share of those without noise, and whether these are all words."""
     # Words by how often they occur: the counts of counts are few, so the bound is found without sorting words.
     levels = words.groupBy(F.least("n", F.lit(1 << 20)).alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("calm").alias("calm")).orderBy(F.desc("level")).collect()
     least, kept = 1, 0
@@ -584,22 +637,142 @@ def corpus_counts(texts: DataFrame, most: int = WORDS) -> tuple[dict[str, tuple[
             least = r["level"] + 1
             break
         kept += r["words"]
-    got = words.where(F.col("n") >= least).toArrow()
-    counts = dict(zip(got.column("word").to_pylist(), zip(got.column("n").to_pylist(), got.column("calm").to_pylist())))
-    return counts, sum(r["calm"] for r in levels) / max(1, sum(r["n"] for r in levels))
+    counts = _as_counts(words.where(F.col("n") >= least))
+    return counts, sum(r["calm"] for r in levels) / max(1, sum(r["n"] for r in levels)), least == 1
 
 
-def trained(extractions: DataFrame) -> Editor:
-    # Copies count once: a misread word is no word because many rows hold the same text.
-    texts = staged(extractions.select("text").where("text is not null and text <> ''").distinct())
-    counts, share = corpus_counts(texts)
+def _as_counts(words: DataFrame) -> dict[str, tuple[int, int]]:
+    got = words.select("word", "n", "calm").toArrow()
+    return dict(zip(got.column("word").to_pylist(), zip(got.column("n").to_pylist(), got.column("calm").to_pylist())))
+
+
+def corpus_counts(texts: DataFrame, most: int = WORDS) -> tuple[dict[str, tuple[int, int]], float]:
+    """Counts of the most frequent words of a column named text, and the share of those in texts without noise."""
+    return frequent(word_counts(texts), most)[:2]
+
+
+def _trained(texts: DataFrame, most: int) -> tuple[Editor, DataFrame]:
+    """The editors, and word, n, calm of all words."""
+    words = word_counts(texts)
+    counts, share, whole = frequent(words, most)
     rows = texts.where(F.length("text").between(201, SAMPLE_CHARS)).orderBy(F.xxhash64("text"), "text").limit(6 * SAMPLE_TEXTS).collect()
     clean = [x for r in rows if quiet(x := r[0])][:SAMPLE_TEXTS]
-    return train(counts, share, clean)
+    ours = counts
+    if not whole:
+        asked = texts.sparkSession.createDataFrame(pa.table({"word": pa.array(sorted(asked_in_training(clean) - counts.keys()), pa.string())}))
+        ours = counts | _as_counts(words.join(F.broadcast(asked), "word"))
+    ed = train(ours, share, clean)
+    ed.n, ed.whole = counts, whole
+    return ed, words
+
+
+def _distinct(extractions: DataFrame) -> DataFrame:
+    # Copies count once: a misread word is no word because many rows hold the same text.
+    return staged(extractions.select("text").where("text is not null and text <> ''").distinct())
 
 
-def _run(extractions: DataFrame, what: str) -> DataFrame:
-    ed = trained(extractions)
+def trained(extractions: DataFrame) -> Editor:
+    return _trained(_distinct(extractions), WORDS)[0]
+
+
+def repairs(words: DataFrame, ed: Editor) -> DataFrame:
+    """word, fixed, sure of the words that the character editor changes, each beside all words that it could be."""
+    shared = words.sparkSession.sparkContext.broadcast((ed.share, ed.chars.w))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([edit_key(w) for w in b.column(0).to_pylist()], pa.string()), *b.columns], names=["key", "word", "n", "calm"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, weights = shared.value
+        e = Editor({}, share)
+        e.chars = Perceptron(weights)
+
+        def fixed() -> Iterator[tuple[str, str, float]]:
+            top = max((c[0] for c in e.n.values()), default=0)
+            if len(e.n) > 1 and top >= 2:
+                for w, c in e.n.items():
+                    if top > 3 * c[0] and (f := e.fix(w)):  # what a word becomes is more than three times as usual
+                        yield w, *f
+
+        key = None
+        for b in batches:
+            rows = []
+            for k, w, n, calm in zip(*(c.to_pylist() for c in b.columns)):
+                if k != key:
+                    rows += fixed()
+                    key, e.n, e._known = k, {}, {}
+                e.n[w] = n, calm
+            yield made(rows)
+        yield made(list(fixed()))
+
+    def made(rows: list[tuple[str, str, float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["word", "fixed", "sure"])
+
+    # A compound's parts are words by themselves, and no edit makes a compound.
+    rows = words.where("word not rlike '(?s)^.+-.+$'").select("word", "n", "calm").mapInArrow(keyed, "key string, word string, n bigint, calm bigint")
+    return staged(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "word string, fixed string, sure double"))
+
+
+def _looked_up(texts: DataFrame, words: DataFrame, ed: Editor, what: str) -> DataFrame:
+    """h (SHA-256 of a text), defects and with what "texts" the text repaired, of distinct texts, where not all counts are in memory."""
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = texts.select(F.pmod(F.xxhash64("text"), F.lit(size // BLOCK_CHARS + 1)).alias("block"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"), "text")
+    shared = texts.sparkSession.sparkContext.broadcast((ed.n, ed.share, ed.chars.w, ed.joins.w, ed.lines.w))
+
+    def uses(t: pa.Table) -> pa.Table:
+        tokens = {x for s in t.column("text").to_pylist() if not is_email(s) for x in s.split()}
+        ws = sorted({part for x in tokens if (w := x.strip(_EDGE)) for part in (w.split("-") if "-" in w[1:-1] else (w,))})
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(ws), pa.int64()), "word": pa.array(ws, pa.string())})
+
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        n, share, c, j, w = shared.value
+        e = Editor(n, share, False)
+        e.chars, e.joins, e.lines = Perceptron(c), Perceptron(j), Perceptron(w)
+        for word, fixed, sure, count in zip(*(known.column(x).to_pylist() for x in ("word", "fixed", "sure", "n"))):
+            if fixed is None:
+                e.looked_up[word] = count
+            else:
+                e._known[word] = fixed, sure
+        defects, out, asked = [], [], []
+        for s in t.column("text").to_pylist():
+            e.asked = set()
+            try:
+                text, found_ = repair(s, e) if what == "texts" else (None, sorted(analyse(s, e)[0]))
+                defects.append(found_)
+                out.append(text)
+                asked.append(None)
+            except Unsettled:
+                defects.append(None)
+                out.append(s)
+                asked.append(sorted(e.asked))
+        strings = pa.list_(pa.string())
+        return pa.table({"block": t.column("block"), "h": t.column("h"), "defects": pa.array(defects, strings), "text": pa.array(out, pa.string()), "asked": pa.array(asked, strings)})
+
+    pairs = blocks.groupBy("block").applyInArrow(uses, "block bigint, word string")
+    known = staged(pairs.join(repairs(words, ed), "word").select("block", "word", "fixed", "sure", F.lit(None).cast("bigint").alias("n")))
+    done = None
+    while True:  # each text gets further with the counts that it has asked for
+        got = staged(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "block bigint, h binary, defects array<string>, text string, asked array<string>"))
+        part = got.where("asked is null").select("h", "defects", "text")
+        done = part if done is None else done.unionByName(part)
+        blocks = got.where("asked is not null")
+        if blocks.isEmpty():
+            return done
+        new = blocks.select("block", F.explode("asked").alias("word")).distinct().join(words.select("word", "n"), "word", "left")
+        known = known.unionByName(staged(new.select("block", "word", F.lit(None).cast("string").alias("fixed"), F.lit(None).cast("double").alias("sure"), F.coalesce("n", F.lit(0)).alias("n"))))
+        blocks = blocks.select("block", "h", "text")
+
+
+def _run(extractions: DataFrame, what: str, most: int | None = None) -> DataFrame:
+    texts_ = _distinct(extractions)
+    ed, words = _trained(texts_, WORDS if most is None else most)
+    if not ed.whole:
+        got = _looked_up(texts_, words, ed, what)
+        rows = extractions.select(F.col("extraction_id").cast("bigint").alias("extraction_id"), F.col("text").alias("was"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"))
+        if what == "defects":
+            return rows.select("extraction_id", "h").join(got, "h").select("extraction_id", F.explode("defects").alias("defect"))
+        return rows.join(got, "h", "left").select("extraction_id", F.when(F.col("was") == "", "").otherwise(F.col("text")).alias("text"), F.coalesce("defects", F.array().cast("array<string>")).alias("defects"))
     shared = extractions.sparkSession.sparkContext.broadcast((ed.n, ed.share, ed.chars.w, ed.joins.w, ed.lines.w))  # at most WORDS counts and some thousand weights
 
     def load() -> Editor:

@@ -389,6 +389,27 @@ def test_a_misread_word_is_found_however_often_it_stands(editor):
         assert scan_noise.analyse(text, ed)[0] == {"misread"}
 
 
+def test_words_that_edits_make_of_each_other_share_a_key():
+    for seen, meant in scan_noise.CONFUSIONS:
+        assert scan_noise.edit_key(seen) == scan_noise.edit_key(meant)
+    for w in ("Straße", "ΟΔΟΣ", "ﬁnal", "İl", "frorn", "Tbe"):
+        assert {scan_noise.edit_key(x) for x in (w.lower(), w.capitalize())} == {scan_noise.edit_key(w)}
+    assert scan_noise.edit_key("from") != scan_noise.edit_key("some")
+
+
+def test_words_whose_counts_are_not_in_memory_are_looked_up(spark, monkeypatch):
+    texts = [f"The letter frorn the insurer of house {k} denied the claim." for k in range(2)] + [f"A letter from the insurer in town {k} paid the claim and the sche-\ndule of house {k}." for k in range(9)]
+    texts += [f"Nothing but common words {k}: the insurer paid the claim of the schedule." for k in range(200)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, "", texts[0]])], "extraction_id bigint, text string").unionByName(spark.read.parquet(f"{DIR}/extraction_results.parquet").selectExpr("extraction_id + 1000 AS extraction_id", "text"))
+    whole = [sorted(map(str, f(d).collect())) for f in (scan_noise.found, scan_noise.repaired)]
+    monkeypatch.setattr(scan_noise, "WORDS", 12)  # "from" is none of the most frequent words
+    ed = scan_noise.trained(d)
+    assert len(ed.n) <= 12 and "from" not in ed.n
+    assert [sorted(map(str, f(d).collect())) for f in (scan_noise.found, scan_noise.repaired)] == whole
+    ed.whole = True  # as before: words out of memory are unknown
+    assert "misread" not in scan_noise.analyse(texts[0], ed)[0] and any("extraction_id=0, defect='misread'" in x for x in whole[0])
+
+
 def test_copies_of_a_text_count_once(spark):
     texts = [f"The letter frorn the insurer of house {k} denied the claim." for k in range(4)] + ["A letter from the insurer paid the claim."]
     once = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "extraction_id bigint, text string")
