@@ -30,8 +30,8 @@ VOCAB = 135
 #: Characters of a step; windows and overlaps are multiples of it.
 STEP = 4
 WINDOW, OVERLAP = 384, 24
-#: Texts whose paths are stepped through together.
-TOGETHER = 256
+#: Places of the texts whose paths are stepped through together, each counted as long as the longest of them.
+TOGETHER = 400_000
 
 
 @lru_cache(maxsize=8192)
@@ -326,8 +326,10 @@ def viterbi(E: np.ndarray, first: np.ndarray, T: np.ndarray) -> np.ndarray:
     """Best tag paths of texts whose emissions stand one behind the other, from first[k] to first[k + 1]."""
     out = np.zeros(len(E), np.uint8)
     spans = sorted(((int(a), int(b)) for a, b in zip(first, first[1:]) if a < b), key=lambda x: x[0] - x[1])
-    for k in range(0, len(spans), TOGETHER):
-        part = spans[k : k + TOGETHER]
+    k = 0
+    while k < len(spans):  # many short texts, or few long ones: what is held at a time is bounded
+        part = spans[k : k + max(1, TOGETHER // (spans[k][1] - spans[k][0]))]
+        k += len(part)
         for (a, b), path in zip(part, _viterbi([E[a:b] for a, b in part], T)):
             out[a:b] = path
     return out
@@ -374,7 +376,7 @@ def _viterbi(E: list[np.ndarray], T: np.ndarray) -> list[np.ndarray]:
     for t in range(L - 1, -1, -1):
         on_, k = alive[t + 1], alive[t]
         z = np.ascontiguousarray(S[t, :, :k].T)
-        z[:on_] += Tt[cur[:on_]]  # where the next character's tag came from; the others end here
+        z[:on_] += Tt.take(cur[:on_], 0)  # where the next character's tag came from; the others end here
         cur[:k] = z.argmax(1)
         path[t, :k] = cur[:k]
     return [path[:k, r] for r, k in enumerate(n)]

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,11 @@ _TITLE = re.compile(r"^(?:Mr|Mrs|Ms|Dr|Hon|Herr|Frau|Mme|Me|MM|Sr|Sra|Prof|Ing|D
 _WORD = re.compile(r"[^\W\d_]", re.U)
 _GIVEN_BEFORE = re.compile(r"(?:^|(?<=[\s(“\"]))(?:(?:%s)(?:[ \t]+|[ \t]*\n[ \t]*)(?:[A-Z]\.\s+)?|(?:[B-Z]\.\s+)+)\Z" % "|".join(GIVEN))
 _GIVEN_BEHIND = re.compile(r",\s+(?:%s)(?=[.,;\n]|\s+and\b|$)" % "|".join(GIVEN))
+_SPACES = re.compile(r"\s+")
+_NUMBERS = re.compile(r"\d{3}|@")
+_MARK_BEFORE = re.compile(r"[AQ]\.\s+")
+_BLANK_LINE = re.compile(r"[ \t]*\n[ \t]*\r?\n\s*")
+_INITIAL = re.compile(r"\b[A-Z]$")
 
 
 @lru_cache(maxsize=1)
@@ -97,7 +103,7 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | Non
     while m := _TITLE.match(text[a:b]):
         a += m.end()
     # A transcript's mark for an answer is no initial.
-    if (m := re.match(r"[AQ]\.\s+", text[a:b])) and not text[text.rfind("\n", 0, a) + 1 : a].strip(" >|") and ("\nQ. " in text or re.match(r"[A-Z][a-z]+\s+[A-Z]", text[a + m.end() : b])):
+    if (m := _MARK_BEFORE.match(text[a:b])) and not text[text.rfind("\n", 0, a) + 1 : a].strip(" >|") and ("\nQ. " in text or re.match(r"[A-Z][a-z]+\s+[A-Z]", text[a + m.end() : b])):
         a += m.end()
     if (m := _GIVEN_BEFORE.search(text[max(0, a - 24) : a])):
         a = max(0, a - 24) + m.start()
@@ -107,12 +113,12 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | Non
     s = text[a:b]
     if s.endswith("."):
         s = s.rstrip(".")
-        if not re.search(r"\b[A-Z]$", s):
+        if not _INITIAL.search(s):
             b = a + len(s)
         else:
             b = a + len(s) + 1
     s = text[a:b]
-    return (a, b, kind) if len(s) >= 2 and _WORD.search(s) and not re.search(r"\d{3}|@", s) and not _NO_NAME.match(s) else None
+    return (a, b, kind) if len(s) >= 2 and _WORD.search(s) and not _NUMBERS.search(s) and not _NO_NAME.match(s) else None
 
 
 def _parted(text: str, a: int, b: int, kind: str) -> list[tuple[int, int, str]]:
@@ -121,7 +127,7 @@ def _parted(text: str, a: int, b: int, kind: str) -> list[tuple[int, int, str]]:
     if kind == "email" and len(re.findall(r"@|\bat\b", s)) > 1:
         got = [(a + m.start(), a + m.end(), kind) for m in _EMAILS.finditer(s)]
         return got or [(a, b, kind)]
-    if kind == "name" and (cuts := list(re.finditer(r"[ \t]*\n[ \t]*\r?\n\s*", s))):
+    if kind == "name" and (cuts := "\n" in s and list(_BLANK_LINE.finditer(s))):
         edges = [0, *(x for m in cuts for x in m.span()), len(s)]
         return [(a + x, a + y, kind) for x, y in zip(edges[::2], edges[1::2])]
     if kind == "address" and (m := re.search(r"\s+to\s+(?=\d|[A-Z])", s)) and m.start() > 8 and len(s) - m.end() > 8:
@@ -186,9 +192,12 @@ def _decoded(rows: DataFrame, with_text: bool) -> DataFrame:
                     size += len(texts[n])
                     n += 1
                 got = spans_of(texts[k:n])
-                spans = [[{"start": x, "end": y, "pii_type": t, "pii_text": re.sub(r"\s+", " ", s[x:y])} for x, y, t in g] for s, g in zip(texts[k:n], got)]
+                flat = [(x, y, t, _SPACES.sub(" ", s[x:y])) for s, g in zip(texts[k:n], got) for x, y, t in g]
+                parts = [pa.array([f[i] for f in flat], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
+                ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
+                spans = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["start", "end", "pii_type", "pii_text"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[k:n], pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("pii_text", pa.string())]))), pa.array([redact(s, g) if with_text else None for s, g in zip(texts[k:n], got)], pa.string())],
+                    [pa.array(keys[k:n], pa.binary()), spans, pa.array([redact(s, g) if with_text else None for s, g in zip(texts[k:n], got)], pa.string())],
                     names=["h", "spans", "redacted"],
                 )
                 k = n

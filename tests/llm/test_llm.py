@@ -308,6 +308,18 @@ def test_texts_stepped_through_together_have_their_own_paths():
             assert a == b or (got[a:b] == crf_tagger._viterbi([e[a:b]], t)[0]).all()
 
 
+def test_one_long_text_is_not_stepped_through_beside_many_short_ones(monkeypatch):
+    seen, inner = [], crf_tagger._viterbi
+    monkeypatch.setattr(crf_tagger, "_viterbi", lambda e, t: seen.append((len(e), len(e[0]))) or inner(e, t))
+    size = [60_000, *[50] * 400]
+    first = np.cumsum([0, *size])
+    e = np.random.default_rng(4).normal(size=(first[-1], crf_tagger.K)).astype(np.float32)
+    t = crf_tagger.settled(np.zeros((crf_tagger.K, crf_tagger.K), np.float32))
+    got = crf_tagger.viterbi(e, first, t)
+    assert all(n * longest <= 400_000 for n, longest in seen) and sum(n for n, _ in seen) == 401  # 256 texts of 60,000 places before
+    assert (got[-50:] == inner([e[-50:]], t)[0]).all() and (got[:60_000] == inner([e[:60_000]], t)[0]).all()
+
+
 def test_both_engines_score_alike():
     p = pii.tagger().p
     x = np.random.default_rng(3).integers(0, 130, (3, 40)).astype(np.uint8)
