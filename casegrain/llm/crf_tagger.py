@@ -32,6 +32,8 @@ STEP = 4
 WINDOW, OVERLAP = 384, 24
 #: Places of the texts whose paths are stepped through together, each counted as long as the longest of them.
 TOGETHER = 400_000
+#: Long texts are cut about every PIECE places, somewhere among NEAR; so many parts are stepped through together.
+PIECE, NEAR, LANES = 64, 24, 3000
 
 
 @lru_cache(maxsize=8192)
@@ -292,33 +294,28 @@ def decode(p: dict | Runner, texts: list[str], batch: int = 16) -> list[list[tup
     size = [len(t) for t in texts]
     first = np.cumsum([0, *size])  # the texts' characters stand one behind the other
     ids = encode("".join(texts))
-    where = [(min(WINDOW, n - s), k, s) for k, n in enumerate(size) if n for s in _windows(n)]
-    where.sort()
+    where = np.array(sorted((min(WINDOW, n - s), k, s) for k, n in enumerate(size) if n for s in _windows(n)), np.int64).reshape(-1, 3)
     total = np.zeros((len(ids), K), np.float32)
-    weight = np.ones(len(ids), np.float32)
-    for k, n in enumerate(size):
-        if n > WINDOW:
-            weight[first[k] : first[k + 1]] = 0
+    ends, edge = np.array(size), _EDGE[:OVERLAP, None]
     for b in range(0, len(where), batch):
         part = where[b : b + batch]
-        width = -(-part[-1][0] // run.step) * run.step
-        X = np.zeros((len(part), width), np.uint8)
-        starts = [int(first[k]) + s for _, k, s in part]
-        for r, (at, (n, _, _)) in enumerate(zip(starts, part)):
-            X[r, :n] = ids[at : at + n]
+        place = np.arange(-(-part[-1, 0] // run.step) * run.step)
+        starts = first[part[:, 1]] + part[:, 2]
+        X = ids.take(np.minimum(starts[:, None] + place, len(ids) - 1))
+        X[place >= part[:, :1]] = PAD
         E = run(X)
-        for r, (at, (n, k, s)) in enumerate(zip(starts, part)):
+        if part[-1, 0] == WINDOW:
+            E[part[:, 2] + WINDOW < ends[part[:, 1]], -OVERLAP:] *= edge[::-1]
+        if part[:, 2].any():
+            E[part[:, 2] > 0, :OVERLAP] *= edge
+        for r, (at, (n, k, _)) in enumerate(zip(starts.tolist(), part.tolist())):
             if size[k] <= WINDOW:  # the only window of its text
                 total[at : at + n] = E[r, :n]
-                continue
-            e = _EDGE[:n].copy()
-            if s == 0:
-                e[:OVERLAP] = 1
-            if s + n == size[k]:
-                e[-OVERLAP:] = 1
-            total[at : at + n] += E[r, :n] * e[:, None]
-            weight[at : at + n] += e
-    total /= weight[:, None]
+            else:
+                total[at : at + n] += E[r, :n]
+    again = where[where[:, 2] > 0]
+    shared = (first[again[:, 1]] + again[:, 2])[:, None] + np.arange(2 * OVERLAP)
+    total[shared] /= (_EDGE[-2 * OVERLAP :] + _EDGE[: 2 * OVERLAP])[:, None]
     return _spans(viterbi(total, first, run.T), first)
 
 
@@ -351,35 +348,114 @@ def settled(T: np.ndarray) -> np.ndarray:
 
 
 def _viterbi(E: list[np.ndarray], T: np.ndarray) -> list[np.ndarray]:
-    """Best tag paths under settled transitions; the texts, the longest first, are stepped through together.
+    """Best tag paths under settled transitions.
 
-    Texts are the inner axis, so that each step is a few operations on long rows; what
-    can come before a tag is looked at only once where it is the same for several.
+    Long texts are cut where their best path surely has the tag O (_sure): given that, the
+    parts on both sides of the place don't touch each other's paths.  Texts and parts of
+    about one length are then stepped through together.
     """
     n = np.array([len(e) for e in E])
-    B, L = len(E), int(n[0])
-    S = np.zeros((L, K, B), np.float32)  # emissions, then the best scores of paths that end in a tag
-    for r, e in enumerate(E):
-        S[: len(e), :, r] = e
-    alive = np.searchsorted(-n, -np.arange(L + 1), side="left")  # texts longer than t stand before it
-    out_of, into, again = T[1:, :1], T[0, 1 : N + 1, None], T[1, 1]
+    all_ = E[0] if len(E) == 1 else np.concatenate(E)
+    starts = np.cumsum(n) - n
+    at = np.concatenate([np.zeros(0, np.int64), *(np.arange(a + PIECE - NEAR // 2, a + k - PIECE // 2 - NEAR, PIECE) for a, k in zip(starts.tolist(), n.tolist()) if k > PIECE)])
+    cut = at[:0]
+    for _ in range(2):  # where there is none, once more among the next
+        found = _sure(all_, at, T)
+        cut, at = np.concatenate([cut, (at + found)[found >= 0]]), at[found < 0] + NEAR
+    # A part begins and ends with the places of its cuts.
+    a, b = np.concatenate([starts, cut]), np.concatenate([starts + n, cut + 1])
+    a, b = np.sort(a), np.sort(b)
+    left, right = np.isin(a, cut), np.isin(b - 1, cut)
+    order = np.argsort(a - b, kind="stable")
+    out = np.zeros(len(all_), np.uint8)
+    for k in range(0, len(order), LANES):
+        o = order[k : k + LANES]
+        _stepped(all_, a[o], b[o] - a[o], left[o], right[o], T, out)
+    return [out[x : x + k] for x, k in zip(starts.tolist(), n.tolist())]
+
+
+def _sure(E: np.ndarray, at: np.ndarray, T: np.ndarray) -> np.ndarray:
+    """In each of the windows of NEAR places from at on, which lie within texts: a place at which every best path has the tag O, -1 if none is surely so.
+
+    Nothing is taken for granted about what stands outside of a window.  Step by step,
+    u bounds how much better than one in O a path up to here can be that ends in another
+    tag, whatever came before; r how much better one can go on from that tag.  A place is
+    sure if the two are below 0 together, for every other tag.
+    """
+    S = np.ascontiguousarray(E.take(at + np.arange(NEAR)[:, None], 0).transpose(0, 2, 1))
+    D = S[:, 1:] - S[:, :1]
+    stay, again, begin = T[0, 0], T[1, 1], T[0, 1 : N + 1, None]
+    first_on, on = np.diagonal(T[1 : N + 1, N + 1 :])[:, None], np.diagonal(T[N + 1 :, N + 1 :])[:, None]
+    leave = T[1:, :1] - stay
+    U = np.empty_like(D)
+    u = np.full(D.shape[1:], np.inf, np.float32)
+    for t in range(NEAR):
+        v = np.minimum(u, -leave)  # a path in O has stayed there or has left the same tag, whichever is better
+        u = U[t]
+        np.add(D[t, :N], np.maximum(begin, v.max(0) + again) - stay, out=u[:N])
+        np.add(D[t, N:], np.maximum(v[:N] + first_on, v[N:] + on) - stay, out=u[N:])
+    inner = np.maximum(np.maximum(T[N + 1 :, :1] - T[1 : N + 1, :1], on - first_on), 0)  # how much better an I tag can go on than its B tag
+    stop = np.maximum(leave, again - begin.min())
+    r = np.full(D.shape[1:], np.inf, np.float32)
+    best = np.full(len(at), -1)
+    for t in range(NEAR - 2, NEAR // 4, -1):
+        i = np.minimum(S[t + 1, N + 1 :] - S[t + 1, 1 : N + 1] + inner - begin, D[t + 1, N:] + r[N:] - stay)
+        r = np.maximum(stop, np.concatenate([i + first_on, i + on]))
+        best[((U[t] + r).max(0) < -0.05) & (best < 0)] = t  # 0.05: rounding is far less
+    return best
+
+
+def _stepped(E: np.ndarray, a: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, T: np.ndarray, out: np.ndarray) -> None:
+    """Writes the best paths of the parts of E from a on, n places long and the longest first; left, right: their first, last tag is O for sure.
+
+    Parts are the inner axis, so that each step is a few operations on long rows; what
+    can come before a tag is looked at only once where it is the same for several, and
+    which tag a span stands behind only where one does.
+    """
+    B, L = len(n), int(n[0])
+    alive = np.searchsorted(-n, -np.arange(L + 1), side="left")  # parts longer than t stand before it
+    S = np.empty((L, K, B), np.float32)  # emissions, then the best scores of paths that end in a tag
+    first_of = np.empty((L, K, B), bool)  # whether the first of _BEFORE is the best tag before
+    for t in range(0, L, 16):
+        for r in range(0, alive[t], 256):  # so many fit the cache
+            at = np.minimum(a[r : min(r + 256, alive[t]), None] + np.arange(t, min(t + 16, L)), len(E) - 1)
+            S[t : t + 16, :, r : r + len(at)] = E.take(at, 0).transpose(1, 2, 0)
+    S[0, 1:, left] = -1e9
+    stay, out_of, into, again = T[0, 0], T[1:, :1], T[0, 1 : N + 1, None], T[1, 1]
     first_on, on = np.diagonal(T[1 : N + 1, N + 1 :])[:, None], np.diagonal(T[N + 1 :, N + 1 :])[:, None]
+    room, X, Y = np.empty((K - 1, B), np.float32), np.empty((K, B), np.float32), np.empty((K, B), np.float32)
+    k = 0
     for t in range(1, L):
-        k = alive[t]
+        if k != alive[t]:
+            k = alive[t]
+            z, x, y = room[:, :k], X[:, :k], Y[:, :k]
+            x_o, x_b, x_i, y_o, y_b, y_i = x[0], x[1 : N + 1], x[N + 1 :], y[0], y[1 : N + 1], y[N + 1 :]
         p, q = S[t - 1, :, :k], S[t, :, :k]
-        q[0] += np.maximum(p[0] + T[0, 0], (p[1:] + out_of).max(0))
-        q[1 : N + 1] += np.maximum(p[0] + into, p[1:].max(0) + again)
-        q[N + 1 :] += np.maximum(p[1 : N + 1] + first_on, p[N + 1 :] + on)
-    path = np.zeros((L, B), np.uint8)
-    cur = np.zeros(B, np.int64)
-    Tt = np.ascontiguousarray(T.T)
+        np.add(p[0], stay, out=x_o)
+        np.add(p[1:], out_of, out=z)
+        np.max(z, axis=0, out=y_o)
+        np.add(p[0], into, out=x_b)
+        np.add(np.max(p[1:], axis=0), again, out=y_b)
+        np.add(p[1 : N + 1], first_on, out=x_i)
+        np.add(p[N + 1 :], on, out=y_i)
+        np.greater_equal(x, y, out=first_of[t, :, :k])
+        q += np.maximum(x, y, out=x)
+    cur, lane = np.zeros(B, np.int64), np.arange(B)
     for t in range(L - 1, -1, -1):
         on_, k = alive[t + 1], alive[t]
-        z = np.ascontiguousarray(S[t, :, :k].T)
-        z[:on_] += Tt.take(cur[:on_], 0)  # where the next character's tag came from; the others end here
-        cur[:k] = z.argmax(1)
-        path[t, :k] = cur[:k]
-    return [path[:k, r] for r, k in enumerate(n)]
+        if on_:
+            tag = _BEFORE.take(first_of[t + 1].ravel().take(cur[:on_] * B + lane[:on_]) * K + cur[:on_])
+            if tag.min() < 0:
+                c = np.flatnonzero(tag < 0)
+                tag[c] = 1 + (S[t, 1:, c] + np.where(cur[c, None] == 0, T[1:, 0], again)).argmax(1)
+            cur[:on_] = tag
+        if on_ < k:
+            cur[on_:k] = np.where(right[on_:k], 0, S[t, :, on_:k].argmax(0))
+        out[a[:k] + t] = cur[:k]
+
+
+#: The tags that can stand before O, a B tag and an I tag: the second, then the first of two choices; -1 for the best tag but O.
+_BEFORE = np.array([*[-1] * (N + 1), *range(N + 1, K), *[0] * (N + 1), *range(1, N + 1)])
 
 
 def _spans(tags: np.ndarray, first: np.ndarray) -> list[list[tuple[int, int, str]]]:

@@ -36,6 +36,7 @@ _STREET_END = re.compile(r"\b(?:St|Rd|Ave|Ln|Dr|Ct|Pl|Blvd)$")
 _TITLE = re.compile(r"^(?:Mr|Mrs|Ms|Dr|Hon|Herr|Frau|Mme|Me|MM|Sr|Sra|Prof|Ing|Dipl|The|Judge|Honorable|Miss)\b\.?\s+", re.U)
 _WORD = re.compile(r"[^\W\d_]", re.U)
 _GIVEN_BEFORE = re.compile(r"(?:^|(?<=[\s(“\"]))(?:(?:%s)(?:[ \t]+|[ \t]*\n[ \t]*)(?:[A-Z]\.\s+)?|(?:[B-Z]\.\s+)+)\Z" % "|".join(GIVEN))
+_GIVENS = (*GIVEN, ".")
 _GIVEN_BEHIND = re.compile(r",\s+(?:%s)(?=[.,;\n]|\s+and\b|$)" % "|".join(GIVEN))
 _SPACES = re.compile(r"\s+")
 _NUMBERS = re.compile(r"\d{3}|@")
@@ -105,7 +106,7 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | Non
     # A transcript's mark for an answer is no initial.
     if (m := _MARK_BEFORE.match(text[a:b])) and not text[text.rfind("\n", 0, a) + 1 : a].strip(" >|") and ("\nQ. " in text or re.match(r"[A-Z][a-z]+\s+[A-Z]", text[a + m.end() : b])):
         a += m.end()
-    if (m := _GIVEN_BEFORE.search(text[max(0, a - 24) : a])):
+    if text[max(0, a - 24) : a].rstrip().endswith(_GIVENS) and (m := _GIVEN_BEFORE.search(text[max(0, a - 24) : a])):
         a = max(0, a - 24) + m.start()
     if (m := _GIVEN_BEHIND.match(text[b : b + 20])):
         if "," not in text[a:b] and " " not in text[a:b].strip():

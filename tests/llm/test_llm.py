@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -320,6 +321,50 @@ def test_one_long_text_is_not_stepped_through_beside_many_short_ones(monkeypatch
     assert (got[-50:] == inner([e[-50:]], t)[0]).all() and (got[:60_000] == inner([e[:60_000]], t)[0]).all()
 
 
+def _plain_path(e, t):
+    v, back = e[0].astype(float), []
+    for x in e[1:]:
+        z = v[:, None] + t
+        back.append(z.argmax(0))
+        v = z.max(0) + x
+    path = [int(v.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def test_cut_texts_have_the_paths_of_whole_ones():
+    r, t, cuts = np.random.default_rng(6), pii.tagger().T, 0
+    for n in (1, 2, 63, 64, 65, 130, 700, 900):
+        for lead in (0, 3, 6):  # no place is surely O, some are, most are
+            e = (r.normal(size=(n, crf_tagger.K)) * 3).astype(np.float32)
+            e[:, 0] += lead
+            for a in r.integers(0, n, n // 40):
+                e[a : a + 20, crf_tagger.N + 1 + a % crf_tagger.N] += 9
+            want = _plain_path(e, t)
+            assert crf_tagger._viterbi([e], t)[0].tolist() == want
+            at = np.arange(1, max(1, n - crf_tagger.NEAR), 7)
+            sure = crf_tagger._sure(e, at, t)
+            assert all(want[k] == 0 for k in (at + sure)[sure >= 0])
+            cuts += (sure >= 0).sum()
+    assert cuts > 300
+
+
+def test_a_long_text_takes_no_more_time_than_as_many_places_in_short_ones():
+    def seconds(first):
+        best = 9e9
+        for _ in range(3):
+            began = time.thread_time()
+            crf_tagger.viterbi(e, first, t)
+            best = min(best, time.thread_time() - began)
+        return best
+
+    r, t = np.random.default_rng(7), pii.tagger().T
+    e = r.normal(size=(100_000, crf_tagger.K)).astype(np.float32)
+    e[:, 0] += 7
+    assert seconds(np.array([0, 100_000])) < 5 * seconds(np.arange(0, 100_001, 50))  # a hundred times as much before
+
+
 def test_both_engines_score_alike():
     p = pii.tagger().p
     x = np.random.default_rng(3).integers(0, 130, (3, 40)).astype(np.uint8)
