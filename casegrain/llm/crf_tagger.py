@@ -33,7 +33,7 @@ WINDOW, OVERLAP = 384, 24
 #: Places of the texts whose paths are stepped through together, each counted as long as the longest of them.
 TOGETHER = 400_000
 #: Long texts are cut about every PIECE places, somewhere among NEAR; so many parts are stepped through together.
-PIECE, NEAR, LANES = 64, 24, 3000
+PIECE, NEAR, LANES = 48, 16, 3000
 
 
 @lru_cache(maxsize=8192)
@@ -158,7 +158,7 @@ def _value(name: str, kind: int, dims: list[int | str]) -> bytes:
 
 
 def graph(p: dict) -> bytes:
-    """The tagger as a graph in the ONNX format: x (steps, B, step) of ids to y (steps, B, step * K) of scores."""
+    """The tagger as a graph in the ONNX format: x (steps, B, step) of ids to y (B * steps, step * K) of scores."""
     H = p["U"].shape[1]
     step = p["W"].shape[1] // p["E"].shape[1]
     order = np.r_[0:H, 2 * H : 3 * H, H : 2 * H, 3 * H : 4 * H]  # the format's gates: input, output, forget, cell
@@ -166,13 +166,13 @@ def graph(p: dict) -> bytes:
     bias = np.concatenate([p["b"][:, order], np.zeros_like(p["b"])], axis=1)
     tensors = [
         _tensor("E", p["E"]), _tensor("W", turn(p["W"])), _tensor("R", turn(p["U"])), _tensor("b", bias), _tensor("O", p["O"]), _tensor("c", p["c"]),
-        _tensor("flat", np.array([0, 0, p["W"].shape[1]], np.int64)), _tensor("both", np.array([0, 0, 2 * H], np.int64)),
+        _tensor("flat", np.array([0, 0, p["W"].shape[1]], np.int64)), _tensor("both", np.array([-1, 2 * H], np.int64)),
     ]
     nodes = [
         _node("Gather", ["E", "x"], ["e"]), _node("Reshape", ["e", "flat"], ["i"]), _node("LSTM", ["i", "W", "R", "b"], ["h"], direction="bidirectional", hidden_size=H),
-        _node("Transpose", ["h"], ["t"], perm=[0, 2, 1, 3]), _node("Reshape", ["t", "both"], ["s"]), _node("MatMul", ["s", "O"], ["m"]), _node("Add", ["m", "c"], ["y"]),
+        _node("Transpose", ["h"], ["t"], perm=[2, 0, 1, 3]), _node("Reshape", ["t", "both"], ["s"]), _node("Gemm", ["s", "O", "c"], ["y"]),
     ]
-    g = b"".join(_field(1, n) for n in nodes) + _field(2, "tagger") + b"".join(_field(5, t) for t in tensors) + _field(11, _value("x", 6, ["n", "b", step])) + _field(12, _value("y", 1, ["n", "b", step * K]))
+    g = b"".join(_field(1, n) for n in nodes) + _field(2, "tagger") + b"".join(_field(5, t) for t in tensors) + _field(11, _value("x", 6, ["n", "b", step])) + _field(12, _value("y", 1, ["m", step * K]))
     return _field(1, 8) + _field(7, g) + _field(8, _field(1, "") + _field(2, 14))
 
 
@@ -197,8 +197,7 @@ class Runner:
             return emissions(self.p, X)
         B, T = X.shape
         ids = np.ascontiguousarray(X.reshape(B, T // self.step, self.step).transpose(1, 0, 2).astype(np.int32))
-        y = self.session.run(None, {"x": ids})[0]
-        return y.transpose(1, 0, 2).reshape(B, T, K)
+        return self.session.run(None, {"x": ids})[0].reshape(B, T, K)
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -297,9 +296,12 @@ def decode(p: dict | Runner, texts: list[str], batch: int = 16) -> list[list[tup
     where = np.array(sorted((min(WINDOW, n - s), k, s) for k, n in enumerate(size) if n for s in _windows(n)), np.int64).reshape(-1, 3)
     total = np.zeros((len(ids), K), np.float32)
     ends, edge = np.array(size), _EDGE[:OVERLAP, None]
-    for b in range(0, len(where), batch):
-        part = where[b : b + batch]
-        place = np.arange(-(-part[-1, 0] // run.step) * run.step)
+    steps, b = -(-where[:, 0] // run.step), 0
+    while b < len(where):
+        # Only windows of as many steps, so that what is found in a text depends on no other's length.
+        part = where[b : min(b + batch, int(np.searchsorted(steps, steps[b], side="right")))]
+        place = np.arange(steps[b] * run.step)
+        b += len(part)
         starts = first[part[:, 1]] + part[:, 2]
         X = ids.take(np.minimum(starts[:, None] + place, len(ids) - 1))
         X[place >= part[:, :1]] = PAD
@@ -365,7 +367,9 @@ def _viterbi(E: list[np.ndarray], T: np.ndarray) -> list[np.ndarray]:
     # A part begins and ends with the places of its cuts.
     a, b = np.concatenate([starts, cut]), np.concatenate([starts + n, cut + 1])
     a, b = np.sort(a), np.sort(b)
-    left, right = np.isin(a, cut), np.isin(b - 1, cut)
+    is_cut = np.zeros(len(all_), bool)
+    is_cut[cut] = True
+    left, right = is_cut[a], is_cut[b - 1]
     order = np.argsort(a - b, kind="stable")
     out = np.zeros(len(all_), np.uint8)
     for k in range(0, len(order), LANES):
@@ -414,7 +418,7 @@ def _stepped(E: np.ndarray, a: np.ndarray, n: np.ndarray, left: np.ndarray, righ
     """
     B, L = len(n), int(n[0])
     alive = np.searchsorted(-n, -np.arange(L + 1), side="left")  # parts longer than t stand before it
-    S = np.empty((L, K, B), np.float32)  # emissions, then the best scores of paths that end in a tag
+    S = _room(L * K * B).reshape(L, K, B)  # emissions, then the best scores of paths that end in a tag
     first_of = np.empty((L, K, B), bool)  # whether the first of _BEFORE is the best tag before
     for t in range(0, L, 16):
         for r in range(0, alive[t], 256):  # so many fit the cache
@@ -454,6 +458,16 @@ def _stepped(E: np.ndarray, a: np.ndarray, n: np.ndarray, left: np.ndarray, righ
         out[a[:k] + t] = cur[:k]
 
 
+_ROOM: list[np.ndarray] = [np.empty(0, np.float32)]
+
+
+def _room(n: int) -> np.ndarray:
+    """Room for n scores, the same each time: a system that clears new memory would take as long as a step."""
+    if len(_ROOM[0]) < n:
+        _ROOM[0] = np.empty(n, np.float32)
+    return _ROOM[0][:n]
+
+
 #: The tags that can stand before O, a B tag and an I tag: the second, then the first of two choices; -1 for the best tag but O.
 _BEFORE = np.array([*[-1] * (N + 1), *range(N + 1, K), *[0] * (N + 1), *range(1, N + 1)])
 

@@ -180,50 +180,78 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _decoded(rows: DataFrame, with_text: bool) -> DataFrame:
-    """h, spans and with_text redacted (else null) of distinct texts (columns h, text)."""
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """From, to of the texts that are decoded together."""
+    k = 0
+    while k < len(texts):
+        n, size = k, 0
+        while n < len(texts) and (size < BATCH_CHARS or n == k):
+            size += len(texts[n]) if n == k or texts[n] != texts[n - 1] else 0
+            n += 1
+        yield k, n
+        k = n
+
+
+def _decoded(rows: DataFrame) -> DataFrame:
+    """h, spans and redacted of distinct texts (columns h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            k = 0
-            while k < len(texts):
-                n, size = k, 0
-                while n < len(texts) and (size < BATCH_CHARS or n == k):
-                    size += len(texts[n])
-                    n += 1
+            for k, n in _slices(texts):
                 got = spans_of(texts[k:n])
                 flat = [(x, y, t, _SPACES.sub(" ", s[x:y])) for s, g in zip(texts[k:n], got) for x, y, t in g]
                 parts = [pa.array([f[i] for f in flat], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.string(), pa.string()))]
                 ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
                 spans = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, names=["start", "end", "pii_type", "pii_text"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[k:n], pa.binary()), spans, pa.array([redact(s, g) if with_text else None for s, g in zip(texts[k:n], got)], pa.string())],
-                    names=["h", "spans", "redacted"],
-                )
-                k = n
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k:n], pa.binary()), spans, pa.array([redact(s, g) for s, g in zip(texts[k:n], got)], pa.string())], names=["h", "spans", "redacted"])
 
     return rows.mapInArrow(run, "h binary, spans array<struct<start:int,end:int,pii_type:string,pii_text:string>>, redacted string")
 
 
-def tag(tables: list[tuple[DataFrame, str, str]], with_text: bool = True) -> DataFrame:
+def _records(tables: list[tuple[DataFrame, str, str]]) -> tuple[DataFrame, int]:
+    """record_table, record_id, text of every record with a text, and in how many partitions to decode them."""
+    rows = None
+    for df, name, key in tables:
+        x = df.select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), "text").where("text is not null and text <> ''")
+        rows = x if rows is None else rows.unionByName(x)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows, max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def tag(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """record_table, record_id, spans, redacted for every record with a text.
 
     tables: (frame with a column text, name, id column).  Each distinct text is
     decoded once.  Null and empty texts have no row.
     """
-    rows = None
-    for df, name, key in tables:
-        x = df.select(F.lit(name).alias("record_table"), F.col(key).cast("bigint").alias("record_id"), "text").where("text is not null and text <> ''").withColumn("h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-        rows = x if rows is None else rows.unionByName(x)
+    rows, n = _records(tables)
+    rows = rows.withColumn("h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     # A text is shuffled once, to its copies; records are joined by its digest (SHA-256) and never carry it.
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    n = max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    decoded = staged(_decoded(rows.select("h", "text").repartition(n, "h").dropDuplicates(["h"]), with_text))
+    decoded = staged(_decoded(rows.select("h", "text").repartition(n, "h").dropDuplicates(["h"])))
     return rows.select("record_table", "record_id", "h").distinct().join(decoded, "h").drop("h")
 
 
 def found(tables: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """record_table, record_id, pii_type, pii_text: each span as it stands in the text, once for each record."""
-    t = tag(tables, with_text=False)
-    return t.select("record_table", "record_id", F.explode("spans").alias("s")).select("record_table", "record_id", "s.pii_type", "s.pii_text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, its = None, []  # copies stand one behind the other, in the next batch too
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for k, n in _slices(texts):
+                new = [s for before, s in zip([last, *texts[k:n]], texts[k:n]) if s != before]
+                each = iter([list(dict.fromkeys((t, _SPACES.sub(" ", s[x:y])) for x, y, t in g)) for s, g in zip(new, spans_of(new))])
+                which, pairs = [], []
+                for i in range(k, n):
+                    if texts[i] != last:
+                        last, its = texts[i], next(each)
+                    which += [i] * len(its)
+                    pairs += its
+                of = b.select(["record_table", "record_id"]).take(pa.array(which, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*of.columns, pa.array([t for t, _ in pairs], pa.string()), pa.array([s for _, s in pairs], pa.string())], names=["record_table", "record_id", "pii_type", "pii_text"])
+
+    # A text is shuffled once, to its copies, with the id of its record; nothing has to be joined.
+    rows, n = _records(tables)
+    got = rows.repartition(n, "text").sortWithinPartitions(F.xxhash64("text")).mapInArrow(run, "record_table string, record_id bigint, pii_type string, pii_text string")
+    return staged(got).distinct()

@@ -347,7 +347,7 @@ def test_cut_texts_have_the_paths_of_whole_ones():
             sure = crf_tagger._sure(e, at, t)
             assert all(want[k] == 0 for k in (at + sure)[sure >= 0])
             cuts += (sure >= 0).sum()
-    assert cuts > 300
+    assert cuts > 100
 
 
 def test_a_long_text_takes_no_more_time_than_as_many_places_in_short_ones():
@@ -365,6 +365,17 @@ def test_a_long_text_takes_no_more_time_than_as_many_places_in_short_ones():
     assert seconds(np.array([0, 100_000])) < 5 * seconds(np.arange(0, 100_001, 50))  # a hundred times as much before
 
 
+def test_what_is_found_in_a_text_depends_on_no_other(spark):
+    texts = ["See Walter Tamenmadorf, 202-555-0131.", "Call Ms. Pasirbafield at 312 555 0199", "Dear Bob,", "15 June 2015"] + ["See page %d" % k + " of it" * (k % 3) for k in range(60)]
+    together = pii.spans_of(texts)
+    assert together == [pii.spans_of([t])[0] for t in texts]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k + 1000, t) for k, t in enumerate(texts)] + [(0, texts[0])]
+    d = spark.createDataFrame(rows, "extraction_id long, text string")
+    want = {("t", k + more, kind, " ".join(t[a:b].split())) for k, (t, g) in enumerate(zip(texts, together)) for a, b, kind in g for more in (0, 1000)}
+    got = list(map(tuple, pii.found([(d, "t", "extraction_id")]).collect()))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_both_engines_score_alike():
     p = pii.tagger().p
     x = np.random.default_rng(3).integers(0, 130, (3, 40)).astype(np.uint8)
