@@ -32,7 +32,7 @@ STEP = 4
 WINDOW, OVERLAP = 384, 24
 #: Places of the texts whose paths are stepped through together, each counted as long as the longest of them.
 TOGETHER = 400_000
-#: Long texts are cut about every PIECE places, somewhere among NEAR; so many parts are stepped through together.
+#: Long texts are cut about every PIECE places, somewhere among NEAR; about so many parts are stepped through together.
 PIECE, NEAR, LANES = 48, 16, 3000
 
 
@@ -295,8 +295,11 @@ def decode(p: dict | Runner, texts: list[str], batch: int = 16) -> list[list[tup
     ids = encode("".join(texts))
     where = np.array(sorted((min(WINDOW, n - s), k, s) for k, n in enumerate(size) if n for s in _windows(n)), np.int64).reshape(-1, 3)
     total = np.zeros((len(ids), K), np.float32)
-    ends, edge = np.array(size), _EDGE[:OVERLAP, None]
-    steps, b = -(-where[:, 0] // run.step), 0
+    edge = _EDGE[:OVERLAP, None]
+    ends = np.array(size, np.int64)
+    # Behind a text there is always some padding, by which the tagger knows its end.
+    steps = -(-where[:, 0] // run.step) + ((where[:, 0] % run.step == 0) & (where[:, 0] + where[:, 2] == ends[where[:, 1]]))
+    where, steps, b = where[o := np.argsort(steps, kind="stable")], steps[o], 0
     while b < len(where):
         # Only windows of as many steps, so that what is found in a text depends on no other's length.
         part = where[b : min(b + batch, int(np.searchsorted(steps, steps[b], side="right")))]
@@ -306,7 +309,7 @@ def decode(p: dict | Runner, texts: list[str], batch: int = 16) -> list[list[tup
         X = ids.take(np.minimum(starts[:, None] + place, len(ids) - 1))
         X[place >= part[:, :1]] = PAD
         E = run(X)
-        if part[-1, 0] == WINDOW:
+        if steps[b - 1] * run.step == WINDOW:
             E[part[:, 2] + WINDOW < ends[part[:, 1]], -OVERLAP:] *= edge[::-1]
         if part[:, 2].any():
             E[part[:, 2] > 0, :OVERLAP] *= edge
@@ -372,8 +375,7 @@ def _viterbi(E: list[np.ndarray], T: np.ndarray) -> list[np.ndarray]:
     left, right = is_cut[a], is_cut[b - 1]
     order = np.argsort(a - b, kind="stable")
     out = np.zeros(len(all_), np.uint8)
-    for k in range(0, len(order), LANES):
-        o = order[k : k + LANES]
+    for o in np.array_split(order, max(1, round(len(order) / LANES))):
         _stepped(all_, a[o], b[o] - a[o], left[o], right[o], T, out)
     return [out[x : x + k] for x, k in zip(starts.tolist(), n.tolist())]
 
